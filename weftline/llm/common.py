@@ -28,3 +28,26 @@ def uniform(*parts: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df``, which must be cheap to count (see ``settled``), with a broadcast hint if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def sampled_labels(labels: DataFrame, target: str, folds: int = 5, per_class: int = 4000, key: str = "doc_id") -> tuple[DataFrame, float]:
+    """``(__key, __y)`` of labelled documents to learn from: those outside fold 0, about ``per_class`` of each class at most;
+    and by how much the odds of label 1 among all labels exceed those in the sample.
+
+    A class above the bound is thinned by a hash of the key, which needs no order and is the same in every run. Rows with a
+    null key or label are no labels; a key with several labels has the largest.
+    """
+    usable = labels.where(F.col(key).isNotNull() & F.col(target).isNotNull()).where(remainder(F.col(key), folds) != 0)
+    one = usable.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(target).cast("int")).alias("__y"))
+    counts = {r["__y"]: r["count"] for r in one.groupBy("__y").count().collect()}  # two rows
+    rates = {y: min(1.0, per_class / n) for y, n in counts.items()}
+    rate = F.lit(1.0)
+    for y, r in rates.items():
+        rate = F.when(F.col("__y") == y, F.lit(r)).otherwise(rate)
+    return one.where(uniform(F.lit("sample"), F.col("__key")) < rate), rates.get(0, 1.0) / rates.get(1, 1.0)
+
