@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, quality, secret_scan, simhash, toxicity, url_filter
+from weftline.llm import mixing, packing, quality, secret_scan, simhash, toxicity, url_filter
 from weftline.llm.oracles import ORACLES
 from weftline.sources.tables import table
 
@@ -24,6 +24,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, mixing.temperature_rates(docs))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
