@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, media, mixing, packing, quality, secret_scan, simhash, toxicity, url_filter
+from weftline.llm import ann, lm_trie, media, mixing, packing, quality, secret_scan, simhash, toxicity, url_filter
 from weftline.llm.oracles import ORACLES
 from weftline.sources.tables import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.lm_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered_pages(table(spark, sf_dir, "pages"))
 
