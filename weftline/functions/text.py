@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Characters that end a line.
-LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Sentence and clause marks.
 SENTENCE_END, CLAUSE_END = "。！？!?；;", "，,、：:"
 #: HTML elements whose text is hidden, and those that break lines when they open and when they close.

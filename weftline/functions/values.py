@@ -45,7 +45,7 @@ def safe_rel_path(c: Column, prefix: str | None = None) -> Column:
 
 def ratio_matches(ratio: Column, width: Column, height: Column) -> Column:
     """Whether ``a:b`` is the shape of width by height, by whole numbers."""
-    a, b = (F.split(ratio, ":")[k].try_cast("long") for k in (0, 1))
+    a, b = (F.get(F.split(ratio, ":"), F.lit(k)).try_cast("long") for k in (0, 1))
     return F.coalesce((F.size(F.split(ratio, ":")) == 2) & (a > 0) & (b > 0) & (width * b == height * a), F.lit(False))
 
 
@@ -58,7 +58,7 @@ def box_in_canvas(box: Column, width: Column, height: Column, margin: Column) ->
 def frame_rate(c: Column) -> Column:
     """A rate written ``n/d`` or as a number; null where it is neither."""
     parts = F.split(c, "/")
-    return F.when(F.size(parts) == 2, F.try_divide(parts[0].try_cast("double"), parts[1].try_cast("double"))).otherwise(c.try_cast("double"))
+    return F.when(F.size(parts) == 2, F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double"))).otherwise(c.try_cast("double"))
 
 
 def same_rate(c: Column, expected: float, tolerance: float = 0.01) -> Column:
