@@ -17,12 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 #: Blocks in a row of a stored image, bytes a payload is padded to a multiple of, and rows an image has at most.
 ACROSS, UNIT, MOST_ROWS = 24, 576, 8184
-#: Bytes of images that are decoded at once.
-CHUNK = 4 << 20
+#: Bytes of texts or images that are worked on at once; a longer one is worked on alone.
+CHUNK = 1 << 20
 
 # Fixed values of the format: the usual luminance DC table (codes of each length, then symbols), and an AC table with the end of a block alone.
 DC_BITS, DC_SYMBOLS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
@@ -338,15 +339,21 @@ def chunked(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def lengths(column: pa.Array) -> list[int]:
+    """Bytes of each value, 0 for null, without copies of the values."""
+    return pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+
+
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_bytes, media)``: each whole text (null: empty), padded, as JPEG; one row for each row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for i, j in chunked([len(t) + UNIT for t in texts], CHUNK):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(t) for t in texts[i:j]], pa.int64()), pa.array(encode([padded(t) for t in texts[i:j]]), pa.binary())], names=[key, "n_bytes", "media"])
+            column = b.column(1).cast(pa.binary())
+            for i, j in chunked([n + UNIT for n in lengths(column)], CHUNK):
+                texts = [t or b"" for t in column.slice(i, j - i).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode([padded(t) for t in texts]), pa.binary())], names=[key, "n_bytes", "media"])
 
     return docs.select(f"`{key}`", F.col(f"`{text}`").cast("string")).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, media binary")
 
@@ -379,9 +386,9 @@ def inspect(media: DataFrame, column: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            binaries = b.column(len(names)).to_pylist()
-            for i, j in chunked([len(m or b"") for m in binaries], CHUNK):
-                cols = list(zip(*look(binaries[i:j]), strict=True))
+            column = b.column(len(names))
+            for i, j in chunked(lengths(column), CHUNK):
+                cols = list(zip(*look(column.slice(i, j - i).to_pylist()), strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[:-1]], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*names, "width", "height", "images", "thumb_hash", "thumb"])
 
