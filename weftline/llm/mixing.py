@@ -36,8 +36,8 @@ def temperature_rates(docs: DataFrame, alpha: float = 0.5, by: str = "source", t
     """
     sizes = docs.groupBy(F.col(f"`{by}`").alias("source")).agg(F.greatest(F.coalesce(F.sum(F.length(f"`{text}`")), F.lit(0)), F.lit(1)).cast("double").alias("chars"))
     sizes = settled(sizes)
-    whole = sizes.agg(F.sum("chars").alias("all_chars"), F.sum(F.pow("chars", F.lit(alpha))).alias("all_powers"))
-    return sizes.crossJoin(F.broadcast(whole)).select("source", (F.pow("chars", F.lit(alpha)) / F.col("all_powers") * F.col("all_chars") / F.col("chars")).alias("rate"))
+    chars, powers = sizes.agg(F.sum("chars"), F.sum(F.pow("chars", F.lit(alpha)))).first()  # two numbers
+    return sizes.select("source", (F.pow("chars", F.lit(alpha)) / F.lit(powers) * F.lit(chars) / F.col("chars")).alias("rate"))
 
 
 def weight_rates(docs: DataFrame, weights: DataFrame, by: str = "source", text: str = "text") -> DataFrame:
@@ -45,8 +45,8 @@ def weight_rates(docs: DataFrame, weights: DataFrame, by: str = "source", text:
     sizes = settled(docs.groupBy(F.col(f"`{by}`").alias("source")).agg(F.greatest(F.coalesce(F.sum(F.length(f"`{text}`")), F.lit(0)), F.lit(1)).cast("double").alias("chars")))
     given = weights.groupBy("source").agg(F.sum("weight").cast("double").alias("weight"))
     joined = sizes.join(given, sizes["source"].eqNullSafe(given["source"]), "left").select(sizes["source"], "chars", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
-    whole = joined.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weights"))
-    return joined.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("all_weights") > 0, F.col("weight") / F.col("all_weights") * F.col("all_chars") / F.col("chars")).otherwise(0.0).alias("rate"))
+    chars, total = joined.agg(F.sum("chars"), F.sum("weight")).first()  # two numbers
+    return joined.select("source", (F.col("weight") / F.lit(total) * F.lit(chars) / F.col("chars") if total else F.lit(0.0)).alias("rate"))
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: str = "mix", by: str = "source", key: str = "doc_id") -> DataFrame:
