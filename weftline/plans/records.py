@@ -57,8 +57,8 @@ def attribute_diff(t: Tables) -> DataFrame:
 @query("select u.user_id, e.event_type, coalesce(c.n, 0) as n from (select distinct user_id from events) u cross join (select distinct event_type from events) e left join (select user_id, event_type, count(*) as n from events where extract(day from ts) <= 5 group by 1, 2) c on c.user_id = u.user_id and c.event_type = e.event_type where coalesce(c.n, 0) <> 1")
 def grid_completeness(t: Tables) -> DataFrame:
     """Every user should have one event of every type in the first five days; the grid comes from the types as an array."""
-    types = F.broadcast(t.events.agg(F.collect_set("event_type").alias("types")))
-    grid = t.events.select("user_id").distinct().join(types).select("user_id", F.explode("types").alias("event_type"))
+    types = t.events.agg(F.collect_set("event_type")).scalar()
+    grid = t.events.select("user_id").distinct().select("user_id", F.explode(types).alias("event_type"))
     return C.incomplete_grid(grid, t.events.where("day(ts) <= 5"), ["user_id", "event_type"])
 
 
