@@ -13,6 +13,8 @@ import pyarrow.fs
 
 #: Ones (and zeros) between remembered positions.
 EVERY = 64
+#: Values that a look-up steps over one by one before it halves.
+WALK = 4
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,7 +96,7 @@ class EliasFano:
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each x's successor, the first value at or above it, and whether that is x itself.
 
-        Where x is above all high parts, the index is n. The values that share x's high part are walked over by their low parts.
+        Where x is above all high parts, the index is n. The values that share x's high part are searched by their low parts.
         """
         high = x >> self.low_bits
         inside = (high <= self.top) & (x >= 0) & (self.n > 0)
@@ -106,7 +108,9 @@ class EliasFano:
         want = x & ((1 << self.low_bits) - 1)
         hit = np.zeros(len(x), bool)
         walk = np.flatnonzero(inside)
-        while len(walk):
+        for _ in range(WALK):
+            if not len(walk):
+                break
             at = index[walk] + h[walk]
             same = (self.high[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
             walk = walk[same]
@@ -114,6 +118,18 @@ class EliasFano:
             hit[walk[low == want[walk]]] = True
             walk = walk[low < want[walk]]
             index[walk] += 1
+        if len(walk):  # many values share these high parts: halve the rest of them
+            zero, begin = h[walk], index[walk]
+            end = _pick(self.high, self.zeros[zero // EVERY], zero % EVERY, True) - zero
+            stop, aim = end.copy(), want[walk]
+            while len(open_ := np.flatnonzero(begin < end)):
+                middle = (begin[open_] + end[open_]) >> 1
+                less = self._lows(middle) < aim[open_]
+                begin[open_] = np.where(less, middle + 1, begin[open_])
+                end[open_] = np.where(less, end[open_], middle)
+            index[walk] = begin
+            there = np.flatnonzero(begin < stop)
+            hit[walk[there]] = self._lows(begin[there]) == aim[there]
         return np.where(inside, index, self.n), hit
 
 

@@ -25,9 +25,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
@@ -41,7 +43,7 @@ ADD, DISCOUNT, LEAST = 0.1, 0.5, 2
 #: Steps of the quantised probabilities: the k-th is 10 ** (-k * STEP).
 STEP, STEPS = 0.03, 256
 #: Bytes of text handled at once, tokens counted before a task sends its counts, and words a worker remembers.
-CHUNK, FLUSH, KEPT_WORDS = 8 << 20, 4_000_000, 700_000
+CHUNK, FLUSH, KEPT_WORDS = 4 << 20, 3_000_000, 500_000
 #: Hash of the end token: that of no bytes, which no word is.
 END = xxhash.xxh64_intdigest(b"")
 
@@ -106,12 +108,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches with their texts' tokens: A-Z lower-cased, split at ASCII white space."""
     for b in batches:
-        texts = b.column(column).cast(pa.binary()).to_pylist()
-        sizes = np.cumsum([len(t or b"") for t in texts]) // CHUNK
+        texts = b.column(column).cast(pa.binary())
+        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // CHUNK
         cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             if i < j:
-                yield b.slice(i, j - i), [t.lower().split() if t else [] for t in texts[i:j]]
+                yield b.slice(i, j - i), [t.lower().split() if t else [] for t in texts.slice(i, j - i).to_pylist()]
 
 
 class Fresh(dict):
@@ -207,7 +209,7 @@ class Model:
         ends = np.cumsum(size + 2)
         inner[ends - size - 2] = inner[ends - 1] = False
         places[ends - size - 2], places[ends - 1] = 0, 1
-        places[inner] = np.fromiter((number(w) for t in tokens for w in t), np.int64, int(size.sum()))
+        places[inner] = np.fromiter(map(number, chain.from_iterable(tokens)), np.int64, int(size.sum()))
         if self.seen.new:
             new, self.seen.new = self.seen.new, []
             more = self.word_numbers(np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)), left)
@@ -478,7 +480,7 @@ def log_probabilities(model: Model, tokens: list[list[bytes]]) -> tuple[np.ndarr
     before = third - 1
     p[third] *= np.where(place[before] >= 0, left[before], 1.0)
     third = third[(place[before] >= 0) & (place[third] >= 0)]
-    order = third[np.argsort(shard[third - 1], kind="stable")]
+    order = third[np.lexsort((place[third - 1], shard[third - 1]))]  # neighbours in a shard's files are looked up together
     bounds = np.searchsorted(shard[order - 1], np.arange(s.pair_shards + 1))
     ids = model.ids[places[real]]
     for k in range(s.pair_shards):
