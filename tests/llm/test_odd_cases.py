@@ -125,3 +125,15 @@ def test_media(docs):
         assert (r.n_bytes, r.payload_bytes) == (len(text), max(576, -(-len(text) // 576) * 576))
     junk = docs.select("doc_id", F.lit(bytearray(b"\xff\xd8 not an image")).alias("media"))
     assert {r.thumb for r in media.inspect(junk).collect()} <= {None}
+
+
+def test_target_weights(spark):
+    """Sources meet given weights on average; a source without a weight, or with a negative one, gets no copies."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 10) as text", "'en' as lang", "case when id < 2000 then 'a' when id < 2900 then 'b' else 'c' end as source", "10L as n_chars")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("d", 5.0), ("c", -1.0)], "source string, weight double")
+    rates = {r.source: r.rate for r in mixing.weight_rates(docs, weights).collect()}
+    assert rates == {"a": pytest.approx(0.25 * 30000 / 20000), "b": pytest.approx(0.75 * 30000 / 9000), "c": 0.0}
+    counts = {r.source: r["count"] for r in mixing.replicate(docs, mixing.weight_rates(docs, weights)).groupBy("source").count().collect()}
+    assert set(counts) == {"a", "b"} and counts["a"] == pytest.approx(750, rel=0.15) and counts["b"] == pytest.approx(2250, rel=0.1)
+    large = mixing.replicate(docs.limit(50), spark.createDataFrame([("a", 1000.0)], "source string, rate double"))
+    assert large.count() == pytest.approx(50_000, rel=0.02)
