@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from weftline.functions import text as T, values as V
 from weftline.operators import checks, duplicates
 from weftline.plans.base import Tables, query
+from weftline.session import settled
 
 NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\r\n|[\r\x0b\x0c\x1c\x1d\x1e]', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 NORMAL_TEXT = NORMAL.format(c="text")
@@ -15,7 +16,10 @@ SPEECH = r"length(regexp_replace({x}, '\s+', '', 'g'))"
 
 
 def materials(t: Tables) -> DataFrame:
-    """Documents as materials: the content's hash, and the category of what kind of text it is."""
+    """Documents as materials: the content's hash, and the category of what kind of text it is.
+
+    Settled where it is read twice, so that contents are read and hashed once.
+    """
     return t.documents.select("doc_id", "source", T.content_hash(F.col("text")).alias("sha256"), F.when(F.length("text") < 100, "unsupported").otherwise("text").alias("category"))
 
 
@@ -29,7 +33,7 @@ def exact_duplicates(t: Tables) -> DataFrame:
 
 @query(f"select doc_id, row_number() over (partition by sha256 order by doc_id) > 1 as exact_duplicate from ({MATERIALS})")
 def mark_duplicates(t: Tables) -> DataFrame:
-    return duplicates.mark_duplicates(materials(t), "sha256", "doc_id", "doc_id").select("doc_id", "exact_duplicate")
+    return duplicates.mark_duplicates(settled(materials(t)), "sha256", "doc_id", "doc_id").select("doc_id", "exact_duplicate")
 
 
 @query("select doc_id, 'm-' || substr(sha256(text), 1, 16) || '-' || substr(sha256(source || ':' || doc_id), 1, 8) as material_id from documents")
@@ -39,12 +43,12 @@ def material_id(t: Tables) -> DataFrame:
 
 @query(f"select doc_id, min(doc_id) over (partition by sha256) as target_id from ({MATERIALS})")
 def asset_targets(t: Tables) -> DataFrame:
-    return duplicates.asset_targets(materials(t), "sha256", "doc_id", "doc_id").select("doc_id", "target_id")
+    return duplicates.asset_targets(settled(materials(t)), "sha256", "doc_id", "doc_id").select("doc_id", "target_id")
 
 
 @query(f"with m as ({MATERIALS}), n as (select *, count(*) over (partition by sha256) as n from m) select source, count(*) as total, count(*) filter (where category <> 'unsupported') as supported, count(*) filter (where n > 1) as in_duplicate_groups from n group by source")
 def manifest_summary(t: Tables) -> DataFrame:
-    return duplicates.summary(materials(t), "source", "category", "sha256")
+    return duplicates.summary(settled(materials(t)), "source", "category", "sha256")
 
 
 @query(r"select coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(\.[A-Za-z0-9]+)$', 1), ''), '(none)') as extension, case when regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(\.[A-Za-z0-9]+)$', 1) in ('.html', '.htm', '.txt', '.md') then 'text' else 'unsupported' end as category, count(*) as n from pages group by 1, 2")
