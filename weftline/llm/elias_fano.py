@@ -93,6 +93,20 @@ class EliasFano:
         one = _pick(self.high, self.ones[i // EVERY], i % EVERY, False)
         return (one - i) << self.low_bits | self._lows(i)
 
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at ``i`` and ``i + 1``: the second's one is the next after the first's."""
+        one = _pick(self.high, self.ones[i // EVERY], i % EVERY, False)
+        at = one + 1
+        word = at >> 6
+        rest = self.high[word] >> (at & 63).astype(np.uint64) << (at & 63).astype(np.uint64)
+        empty = np.flatnonzero(rest == 0)
+        while len(empty):
+            word[empty] += 1
+            rest[empty] = self.high[word[empty]]
+            empty = empty[rest[empty] == 0]
+        after = (word << 6) + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        return (one - i) << self.low_bits | self._lows(i), (after - i - 1) << self.low_bits | self._lows(i + 1)
+
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each x's successor, the first value at or above it, and whether that is x itself.
 

@@ -4,8 +4,8 @@ The model is a trigram model. Its levels are files in the shared folder, cut int
 
 * words: sorted 64-bit hashes (the place is the word's id), counts, and what a word leaves to the unigrams after it;
 * pairs (u, v), in the shard of their hash: the contexts u that occur there, pointers to their children, and the children v.
-  A child is kept as v plus all that came before its context, so the whole level rises and is one Elias-Fano sequence, and
-  the child of a context is found as the successor of v from that base, inside the context's pointers;
+  A child is kept as v above its context's base, bases rising by the number of words, so the whole level rises and is one
+  Elias-Fano sequence, and a context's child is found as the successor of v from that base, inside the context's pointers;
 * triples (u, v, w), in the shard of (u, v): pointers from the pairs, and children w kept the same way.
 
 Children carry log probabilities in 256 steps. Absolute discounting, interpolated: a kept n-gram has (c - D) / c(context),
@@ -105,6 +105,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+def marks(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Bit that a pair has in its shard's marks."""
+    return (mixed(pairs ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marked(pairs: np.ndarray) -> np.ndarray:
+    """Marks of a shard's pairs, about eight bits a pair: most pairs that aren't kept are told by one bit and never searched."""
+    bits = max(6, (8 * len(pairs)).bit_length())
+    flags = np.zeros(1 << bits, bool)
+    flags[marks(pairs, bits)] = True
+    return np.packbits(flags, bitorder="little")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of the batches with their texts' tokens: A-Z lower-cased, split at ASCII white space."""
     for b in batches:
@@ -231,36 +244,30 @@ class Model:
             level = pair_level(self.sizes.folder, k)
             if not level.children.n:
                 continue
+            at = marks(pairs[own], (8 * len(level.marks) - 1).bit_length())
+            own = own[(level.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             u, v = (pairs[own] >> np.uint64(32)).astype(np.int64), (pairs[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             context, known = level.contexts.find(u)
-            place[own[known]] = child(level.pointers, level.children, context[known], v[known])
+            place[own[known]] = child(level.pointers, level.children, context[known], v[known], self.sizes.words)
         return shard, place
 
 
-def child(pointers: EliasFano, children: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+def child(pointers: EliasFano, children: EliasFano, context: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
     """Place of ``word`` among the children of ``context``, or -1: its successor from the context's base, if in the context's range."""
     out = np.full(len(context), -1, np.int64)
-    begin, end = pointers[context], pointers[context + 1]
+    begin, end = pointers.both(context)
     some = np.flatnonzero(begin < end)
-    if not len(some):
-        return out
-    begin, end = begin[some], end[some]
-    base = np.where(begin > 0, children[np.maximum(begin - 1, 0)], 0)
-    at, hit = children.find(base + word[some] + 1)
-    good = hit & (at >= begin) & (at < end)
+    at, hit = children.find(context[some] * width + word[some])
+    good = hit & (at >= begin[some]) & (at < end[some])
     out[some[good]] = at[good]
     return out
 
 
-def level_of(context: np.ndarray, word: np.ndarray, contexts: int) -> dict[str, np.ndarray]:
-    """Pointers and children of a level; ``context`` (sorted, from 0) and ``word`` (sorted in each context) name its n-grams."""
-    size = np.bincount(context, minlength=contexts)
-    pointers = np.r_[0, np.cumsum(size)]
-    filled = np.flatnonzero(size)
-    top = np.zeros(contexts, np.int64)
-    top[filled] = word[pointers[filled + 1] - 1] + 1
-    base = np.cumsum(top) - top
-    return EliasFano.build(pointers).arrays("pointers") | EliasFano.build(base[context] + word + 1).arrays("children")
+def level_of(context: np.ndarray, word: np.ndarray, contexts: int, width: int) -> dict[str, np.ndarray]:
+    """Pointers and children of a level; ``context`` (sorted, from 0) and ``word`` (sorted in each context, below ``width``) name
+    its n-grams."""
+    pointers = np.r_[0, np.cumsum(np.bincount(context, minlength=contexts))]
+    return EliasFano.build(pointers).arrays("pointers") | EliasFano.build(context * width + word).arrays("children")
 
 
 @dataclass
@@ -270,6 +277,7 @@ class PairLevel:
     children: EliasFano
     code: np.ndarray
     count: np.ndarray
+    marks: np.ndarray
 
 
 @dataclass
@@ -283,7 +291,7 @@ class TripleLevel:
 @lru_cache(maxsize=8192)
 def pair_level(folder: str, shard: int) -> PairLevel:
     a = Files(folder).map(f"pairs{shard}")
-    return PairLevel(EliasFano.of(a, "contexts"), EliasFano.of(a, "pointers"), EliasFano.of(a, "children"), a["code"], a["count"])
+    return PairLevel(EliasFano.of(a, "contexts"), EliasFano.of(a, "pointers"), EliasFano.of(a, "children"), a["code"], a["count"], a["marks"])
 
 
 @lru_cache(maxsize=8192)
@@ -382,7 +390,7 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Siz
         u, v = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         contexts, first, rank = np.unique(u, return_index=True, return_inverse=True)
         code = codes((n - DISCOUNT) / np.repeat(opened(sizes).count_of(contexts), np.diff(np.r_[first, len(u)])))
-        files.write(f"pairs{shard}", EliasFano.build(contexts).arrays("contexts") | level_of(rank, v, len(contexts)) | {"code": code, "count": n.astype(np.uint32)})
+        files.write(f"pairs{shard}", EliasFano.build(contexts).arrays("contexts") | level_of(rank, v, len(contexts), sizes.words) | {"code": code, "count": n.astype(np.uint32), "marks": marked(keys)})
         if not len(u):
             return pa.table({"shard": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
         return pa.Table.from_batches([kept_tail(np.add.reduceat(PROBABILITY[code], first), contexts)])
@@ -430,7 +438,7 @@ def train(docs: DataFrame, text: str = "text", shards: int | None = None) -> Siz
         pairs = pair_level(folder, shard)
         code = codes((n - DISCOUNT) / pairs.count[place])
         left = (1 - np.bincount(place, PROBABILITY[code], pairs.children.n)).astype(np.float64)
-        files.write(f"triples{shard}", level_of(place, word, pairs.children.n) | {"code": code, "left": left})
+        files.write(f"triples{shard}", level_of(place, word, pairs.children.n, sizes.words) | {"code": code, "left": left})
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
     _reduced(filled(body.mapInArrow(count_triples, BLOCKS), shards, (np.uint32, np.uint32, np.uint32)), write_triples, "shard int").collect()
@@ -447,7 +455,8 @@ def pairs_along(model: Model, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Shard and place of the pair that ends at each token but the first; -1 at the start of a text."""
     ids = model.ids[places].astype(np.uint64)
     keys = ids[:-1] << np.uint64(32) | ids[1:]
-    known = np.flatnonzero((places[1:] != 0) & (ids[:-1] <= np.uint64(model.sizes.start)) & (ids[1:] < np.uint64(model.sizes.words)))
+    often = (model.counts >= LEAST)[places]  # a pair is kept only if both its words are as frequent; the start always is
+    known = np.flatnonzero((places[1:] != 0) & (often[:-1] | (places[:-1] == 0)) & often[1:])
     shard, place = np.zeros(len(keys), np.int32), np.full(len(keys), -1, np.int64)
     unique, where = np.unique(keys[known], return_inverse=True)
     s, p = model.find_pairs(unique)
@@ -479,7 +488,7 @@ def log_probabilities(model: Model, tokens: list[list[bytes]]) -> tuple[np.ndarr
     third = np.flatnonzero(~first)
     before = third - 1
     p[third] *= np.where(place[before] >= 0, left[before], 1.0)
-    third = third[(place[before] >= 0) & (place[third] >= 0)]
+    third = third[(left[before] < 1) & (place[third] >= 0)]  # only contexts with children have left less than 1
     order = third[np.lexsort((place[third - 1], shard[third - 1]))]  # neighbours in a shard's files are looked up together
     bounds = np.searchsorted(shard[order - 1], np.arange(s.pair_shards + 1))
     ids = model.ids[places[real]]
@@ -487,7 +496,7 @@ def log_probabilities(model: Model, tokens: list[list[bytes]]) -> tuple[np.ndarr
         own = order[bounds[k] : bounds[k + 1]]
         if len(own):
             level = triple_level(s.folder, k)
-            at = child(level.pointers, level.children, place[own - 1], ids[own])
+            at = child(level.pointers, level.children, place[own - 1], ids[own], s.words)
             hit = at >= 0
             p[own[hit]] += PROBABILITY[level.code[at[hit]]]
     return np.log10(p), np.log10(unigram), counts > 0, size
