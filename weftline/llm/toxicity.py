@@ -77,7 +77,9 @@ def train(texts: list[bytes], labels: np.ndarray, width: int = 6, rounds: int =
     known = np.flatnonzero(spread_over >= least_docs)
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
-    bags = [(place[ids][place[ids] >= 0], part[place[ids] >= 0]) for ids, part in bags]
+    for k, (ids, part) in enumerate(bags):  # in place, so that the bags are held once
+        at = place[ids]
+        bags[k] = at[at >= 0], part[at >= 0]
     embedding, softmax, bias = np.zeros((len(known), width), np.float32), rng.normal(0, 1, (width, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen_e, seen_w, seen_b = (np.full(x.shape, 1e-8, np.float32) for x in (embedding, softmax, bias))
     for turn in range(rounds):
