@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import mixing, packing, secret_scan, simhash, toxicity
+from weftline.llm import mixing, near_copies, packing, secret_scan, toxicity
 from weftline.session import shared_dir
 from weftline.sources.tables import table
 
@@ -20,8 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
-    return simhash.deduplicated(docs)
+    """One document, the one with the smallest id, of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return near_copies.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

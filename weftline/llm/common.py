@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftline.session import settled
+
 #: SHA-256 digits that give a uniform number: 13 hexadecimal digits are 52 bits, which a double holds exactly.
 UNIFORM_DIGITS = 13
 
@@ -51,3 +53,26 @@ def sampled_labels(labels: DataFrame, target: str, folds: int = 5, per_class: in
         rate = F.when(F.col("__y") == y, F.lit(r)).otherwise(rate)
     return one.where(uniform(F.lit("sample"), F.col("__key")) < rate), rates.get(0, 1.0) / rates.get(1, 1.0)
 
+
+
+def text_hash(text: str) -> Column:
+    """``th``, which tells texts apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("th")
+
+
+def representatives(docs: DataFrame, found: DataFrame, key: str, text: str, most_broadcast: int) -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their component, and those without a key.
+
+    found: ``(key, th, root, component)`` of each row, cheap to read: the key, the ``text_hash``, the component and its smallest key.
+    Rows are told by key and text, so an id that is used for texts of several components loses none of them unless that component
+    has another representative. Of rows of one component that share a key, one stays.
+    """
+    named = found.where("key = component")
+    several = named.groupBy("key", "root").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least <> most")
+    extra = found.where("key <> component").select("key", "th").unionByName(named.join(several, ["key", "root"]).where("th <> least").select("key", "th"))
+    extra = settled(extra.select(F.col("key").alias("__key"), F.col("th").alias("__extra")).distinct())
+    marked = docs.withColumn("__th", text_hash(text))
+    kept = marked.join(broadcast_if_small(extra, most_broadcast), (F.col(f"`{key}`") == F.col("__key")) & (F.col("__th") == F.col("__extra")), "left_anti")
+    if named.groupBy("key", "th").count().where("count > 1").limit(1).count():
+        kept = kept.where(F.col(f"`{key}`").isNotNull()).dropDuplicates([key, "__th"]).unionByName(kept.where(F.col(f"`{key}`").isNull()))
+    return kept.drop("__th")
