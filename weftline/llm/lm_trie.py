@@ -10,8 +10,8 @@ The model is a trigram model. Its levels are files in the shared folder, cut int
 
 Children carry log probabilities in 256 steps. Absolute discounting, interpolated: a kept n-gram has (c - D) / c(context),
 rounded down to a step, and what its kept children leave of 1 goes to the shorter context, down to (c + 0.1) / (N + 0.1 (V + 1)).
-So the probabilities after every context sum to 1 exactly, unknown words as one word included. Pairs and triples seen once are
-not kept. A triple seen twice has pairs seen twice, so only triples whose pairs were kept are counted.
+So the probabilities after every context sum to 1 exactly, unknown words as one word included. All pairs and triples are kept,
+those seen once included.
 
 Counting gathers sorted blocks of counts from each task, by shard, so a frequent word or pair is one entry of a block and
 hash shards stay even. Nothing but totals of shards comes to the driver.
@@ -39,7 +39,7 @@ from weftline.llm.elias_fano import EliasFano, Files
 from weftline.session import shared_dir
 
 #: Weight that every word and the unknown word have beyond their count; discount of n-grams; least count of kept n-grams.
-ADD, DISCOUNT, LEAST = 0.1, 0.5, 2
+ADD, DISCOUNT, LEAST = 0.1, 0.5, 1
 #: Steps of the quantised probabilities: the k-th is 10 ** (-k * STEP).
 STEP, STEPS = 0.03, 256
 #: Bytes of text handled at once, tokens counted before a task sends its counts, and words a worker remembers.
