@@ -115,9 +115,11 @@ def train(texts: list[bytes], labels: np.ndarray, width: int = 6, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = 5, per_class: int = 4000, key: str = "doc_id", text: str = "text") -> Model | None:
     """A model from a bounded sample of labelled documents outside fold 0, at most about ``per_class`` of each class.
 
-    Training runs in one task over that sample. Without labelled documents there is no model.
+    Training runs in one task over that sample. Without labelled documents there is no model. Thinning a class shifts the odds of
+    the sample against those of the labels, and the bias takes the shift back.
     """
-    sample = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(sampled_labels(labels, target, folds, per_class, key)[0]), "__key")
+    chosen, odds = sampled_labels(labels, target, folds, per_class, key)
+    sample = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(chosen), "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ys = [], []
@@ -132,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
     if not rows:
         return None
     e, w, b = pickle.loads(rows[0]["model"])
+    b[1] += np.log(odds)
     return Model(e.astype(np.float32), w, b)
 
 
