@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftline.llm.common import broadcast_if_small
+from weftline.llm.common import representatives, text_hash
 from weftline.session import settled
 
 #: Rows (five for each fingerprint) that one group of the candidate search is meant to hold, and the least number of groups.
@@ -46,15 +46,15 @@ def text_fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``(key, fp)`` for each row; a null text is empty."""
+    """``(key, th, fp)`` for each row, th being its text's hash; a null text is empty."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((text_fingerprint(t, words, seed) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
+            fps = np.fromiter((text_fingerprint(t, words, seed) for t in b.column(2).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["key", "th", "fp"])
 
-    return docs.select(f"`{key}`", F.col(f"`{text}`").cast("string")).mapInArrow(run, f"key {kind}, fp bigint")
+    return docs.select(f"`{key}`", text_hash(text), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"key {kind}, th bigint, fp bigint")
 
 
 def widths(segments: int) -> list[int]:
@@ -183,7 +183,8 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, bits: int = 4, segments: int | None = None) -> DataFrame:
-    """``(key, fp, component)`` for each row of ``docs``: the fingerprint and the smallest key reachable over links.
+    """``(key, th, fp, root, component)`` for each row of ``docs``: hash of the text, fingerprint, smallest fingerprint and
+    smallest key reachable over links.
 
     Fingerprints link at ``bits`` or fewer differing bits. Null and empty texts have fingerprint 0 and link like others. A null
     key is never a component's name unless the component has no other. Repeated rows each have their row.
@@ -194,22 +195,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rooted = distinct.join(star, distinct["fp"] == star["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = settled(rooted)
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("fp", "component")
-    return marked.join(named, "fp").select("key", "fp", "component")
+    named = rooted.join(names, "root").select("fp", "root", "component")
+    return marked.join(named, "fp").select("key", "th", "fp", "root", "component")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 200_000, **options) -> DataFrame:
     """One document of each component of near-duplicates: the one with the smallest key. All columns stay.
 
-    A row without a key can't be told from others by key, so it stays. Of rows that share a key, one stays.
+    A row without a key can't be told from others by key, so it stays. Of rows of one component that share a key, one stays.
     """
-    found = settled(near_duplicates(docs, key, text, **options).select("key", "component"))
-    extra = settled(found.where("key is not null and key <> component").select(F.col("key").alias("__key")).distinct())
-    kept = docs.join(broadcast_if_small(extra, most_broadcast), F.col(f"`{key}`") == F.col("__key"), "left_anti")
-    if found.where("key is not null and key = component").groupBy("key").count().where("count > 1").limit(1).count():
-        named = kept.where(F.col(f"`{key}`").isNotNull()).dropDuplicates([key])
-        kept = named.unionByName(kept.where(F.col(f"`{key}`").isNull()))
-    return kept
+    found = settled(near_duplicates(docs, key, text, **options).select("key", "th", "root", "component"))
+    return representatives(docs, found, key, text, most_broadcast)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
