@@ -33,8 +33,7 @@ def test_elias_fano(n, top, crowd, tmp_path):
     rng = np.random.default_rng(n)
     v = np.sort(np.r_[rng.integers(0, top, n), rng.integers(top // 2, top // 2 + 4 * crowd + 1, crowd)])
     files = elias_fano.Files(str(tmp_path))
-    files.write("v", elias_fano.EliasFano.build(v).arrays("v"))
-    e = elias_fano.EliasFano.of(files.map("v"), "v")
+    e = elias_fano.EliasFano.of(files.map(files.write("v", elias_fano.EliasFano.build(v).arrays("v"))), "v")
     assert (e[np.arange(len(v))] == v).all()
     x = np.r_[rng.integers(0, top + 10, 2000), v[:1000], v[-1000:]]
     index, hit = e.find(x)
@@ -52,9 +51,10 @@ def test_lm_scores(spark, data, texts):
             two.update(zip(s, s[1:]))
             three.update(zip(s, s[1:], s[2:]))
     total, distinct = sum(one.values()), len(one)
-    step = lambda p: 10 ** (-lm_trie.STEP * min(255, math.ceil(-math.log10(p) / lm_trie.STEP - 1e-9)))
-    q2 = {k: step((c - 0.5) / (n_docs if k[0] == "<s>" else one[k[0]])) for k, c in two.items() if c >= 2}
-    q3 = {k: step((c - 0.5) / two[k[:2]]) for k, c in three.items() if c >= 2}
+    steps = lambda p: math.ceil(-math.log10(p) / 0.03 - 1e-12)
+    step = lambda p: 10 ** (-0.03 * steps(p)) if steps(p) < 255 else 0
+    q2 = {k: step((c - 0.5) / (n_docs if k[0] == "<s>" else one[k[0]])) for k, c in two.items()}
+    q3 = {k: step((c - 0.5) / two[k[:2]]) for k, c in three.items()}
     g2, g3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
     for k, p in q2.items():
         g2[k[0]] -= p

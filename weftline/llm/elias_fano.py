@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import mmap
 import uuid
 from functools import lru_cache
 
@@ -18,10 +17,12 @@ WALK = 4
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _set_bits(length: int, at: np.ndarray) -> np.ndarray:
-    words = np.zeros(length // 64 + 2, np.uint64)
-    np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    return words
+def _packed_bits(flags: np.ndarray) -> np.ndarray:
+    """Flags as 64-bit words, with a word of zeros behind them."""
+    out = np.zeros(len(flags) // 64 + 2, np.uint64)
+    raw = np.packbits(flags, bitorder="little")
+    out.view(np.uint8)[: len(raw)] = raw
+    return out
 
 
 def _pick(words: np.ndarray, start: np.ndarray, nth: np.ndarray, flip: bool) -> np.ndarray:
@@ -70,7 +71,7 @@ class EliasFano:
         length = top + n + 1
         taken = np.zeros(length, bool)
         taken[one] = True
-        return cls(n, bits, low, _set_bits(length, one), one[::EVERY].astype(np.int64), np.flatnonzero(~taken)[::EVERY].astype(np.int64), top)
+        return cls(n, bits, low, _packed_bits(taken), one[::EVERY].astype(np.int64), np.flatnonzero(~taken)[::EVERY].astype(np.int64), top)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.size": np.array([self.n, self.low_bits, self.top], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros}
@@ -147,6 +148,28 @@ class EliasFano:
         return np.where(inside, index, self.n), hit
 
 
+class Marks:
+    """A set of places: bits, and how many are set before each 64 of them."""
+
+    def __init__(self, bits: np.ndarray, before: np.ndarray) -> None:
+        self.bits, self.before = bits, before
+
+    @staticmethod
+    def arrays(flags: np.ndarray, name: str) -> dict[str, np.ndarray]:
+        bits = _packed_bits(flags)
+        n = np.bitwise_count(bits).astype(np.int64)
+        return {f"{name}.bits": bits, f"{name}.before": np.cumsum(n) - n}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray], name: str) -> Marks:
+        return cls(arrays[f"{name}.bits"], arrays[f"{name}.before"])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """How many places before each ``i`` are in the set."""
+        word, below = i >> 6, (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.bits[word] & below)
+
+
 def packed(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays one after the other, each at a multiple of 64 bytes, behind a line that says where."""
     at, table, parts = 0, {}, []
@@ -159,40 +182,52 @@ def packed(arrays: dict[str, np.ndarray]) -> bytes:
     return len(head).to_bytes(8, "little") + head + b"\0" * (-(8 + len(head)) % 64) + b"".join(parts)
 
 
+def unpacked(data: memoryview) -> dict[str, np.ndarray]:
+    """The arrays of ``packed`` bytes, as views of them."""
+    size = int.from_bytes(data[:8], "little")
+    base = 8 + size + -(8 + size) % 64
+    return {k: np.frombuffer(data, kind, n, base + at) for k, (kind, n, at) in json.loads(bytes(data[8 : 8 + size])).items()}
+
+
 class Files:
-    """Files in a shared folder, named by a path or URI. Where the folder isn't on local disks, a file is copied once a process."""
+    """Files of arrays in a shared folder, named by a path or URI. A file is written once, under a name of its own, and never moved
+    or changed: a task that runs twice leaves two files, and only the one that its winning attempt names is used."""
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
 
-    def _place(self) -> tuple[pyarrow.fs.FileSystem, str]:
+    def place(self) -> tuple[pyarrow.fs.FileSystem, str]:
         return pyarrow.fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), self.folder)
 
-    def write(self, name: str, arrays: dict[str, np.ndarray]) -> None:
-        """Written beside its name and then moved there, so that a task that runs twice leaves one whole file."""
-        fs, folder = self._place()
+    def write(self, name: str, arrays: dict[str, np.ndarray]) -> str:
+        """The whole name of the new file."""
+        fs, folder = self.place()
         fs.create_dir(folder, recursive=True)
-        fresh = f"{folder}/{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(fresh) as out:
+        whole = f"{name}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{folder}/{whole}") as out:
             out.write(packed(arrays))
-        fs.move(fresh, f"{folder}/{name}")
+        return whole
 
     def map(self, name: str) -> dict[str, np.ndarray]:
-        return _mapped(self.folder, name)
-
-
-@lru_cache(maxsize=20_000)
-def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
-    fs, path = Files(folder)._place()
-    path = f"{path}/{name}"
-    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-        with tempfile.NamedTemporaryFile(delete=False) as copy, fs.open_input_stream(path) as source:
-            while block := source.read(1 << 20):
-                copy.write(block)
-        whole = np.memmap(copy.name, np.uint8, "r")
-        os.unlink(copy.name)  # the mapping keeps it until the process ends
-    else:
-        whole = np.memmap(path, np.uint8, "r")
-    size = int.from_bytes(whole[:8].tobytes(), "little")
-    base = 8 + size + -(8 + size) % 64
-    return {k: np.asarray(whole[base + at : base + at + n * np.dtype(kind).itemsize]).view(kind) for k, (kind, n, at) in json.loads(whole[8 : 8 + size].tobytes()).items()}
+        return _opened(self.folder, name)
+
+    def remove(self) -> None:
+        """Delete the folder, if it was ever written."""
+        fs, folder = self.place()
+        if fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir(folder)
+
+
+#: Files that a process holds open at most; the one that was not used for longest is closed.
+OPEN = 512
+
+
+@lru_cache(maxsize=OPEN)
+def _opened(folder: str, name: str) -> dict[str, np.ndarray]:
+    """A mounted file is mapped, without keeping a descriptor; any other is read."""
+    fs, path = Files(folder).place()
+    if isinstance(fs, pyarrow.fs.LocalFileSystem):
+        with open(f"{path}/{name}", "rb") as f:
+            return unpacked(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)))
+    with fs.open_input_file(f"{path}/{name}") as source:
+        return unpacked(memoryview(source.read()))
