@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm.secret_scan import ACCESS, ASSIGN, ASSIGN_VALUE, BARE_KEY, ENDPOINT, HEX, IDENTIFIER, SCOPE
+from weftline.llm.secret_scan import ACCESS, ASSIGN, ASSIGN_VALUE, BARE_KEY, ENDPOINT, HEX, IDENTIFIER, SCOPE, UNBROKEN
 from weftline.llm.url_filter import DAY, FIRST_SECOND, SECONDS, URL
 
 
@@ -42,16 +42,19 @@ assign as ({_found(ASSIGN, "assign", 0, f"length(regexp_extract(hit, {_quoted(AS
 access as ({_found(ACCESS, "access", 1)}),
 hex as ({_found(HEX, "hex", 2)}),
 base as materialized (select * from assign union all select * from access union all select * from hex),
+bare as materialized ({_found(BARE_KEY, "link_key", 4, f"regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]') and (regexp_matches(hit, {_quoted(UNBROKEN)}) or (regexp_matches(hit, '[a-z]') and regexp_matches(hit, '[A-Z]')))")}),
+others as materialized (
+  select r, kind, rank, start, stop, false as weak, kind <> 'access' as is_key from base
+  union all select r, kind, rank, start, stop, true, false from ({_found(IDENTIFIER, "link_id", 3)})
+  union all select r, kind, rank, start, stop, true, false from ({_found(ENDPOINT, "link_endpoint", 5)})),
 parts as materialized (
-  select r, kind, rank, start, stop, false as weak, kind <> 'access' as is_key, kind = 'access' as is_id from base
-  union all select r, kind, rank, start, stop, true, false, true from ({_found(IDENTIFIER, "link_id", 3)})
-  union all select r, kind, rank, start, stop, true, true, false from ({_found(BARE_KEY, "link_key", 4, "regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]')")})
-  union all select r, kind, rank, start, stop, true, false, false from ({_found(ENDPOINT, "link_endpoint", 5)})),
+  select * from others
+  union all select r, kind, rank, start, stop, true, true from bare k where not exists (select 1 from others o where o.r = k.r and o.start <= k.start and o.stop > k.start)),
 linked as (
-  select distinct a.r, a.kind, a.rank, a.start, a.stop from parts a
+  select a.r, a.kind, a.rank, a.start, a.stop from parts a
   where a.weak and exists (
-    select 1 from parts b where b.r = a.r and (b.rank, b.start) <> (a.rank, a.start) and (case when a.is_key then b.is_id else b.is_key end)
-      and greatest(b.start - a.stop, a.start - b.stop) <= {SCOPE})
+    select 1 from parts b where b.r = a.r and b.is_key <> a.is_key
+      and ((b.stop <= a.start and a.start - b.stop <= {SCOPE}) or (b.start >= a.stop and b.start - a.stop <= {SCOPE})))
   and not exists (select 1 from base b where b.r = a.r and b.start <= a.start and b.stop >= a.stop)),
 spans as (select r, kind, rank, start, stop, true as is_base from base union all select *, false from linked),
 texts as (
