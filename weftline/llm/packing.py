@@ -3,14 +3,17 @@
 Texts are tokenised where they are read and only piece lengths and checksums move on. Pieces are dealt to shards of bounded
 size by a hash; each shard is packed by several islands at once. An island's individuals are whole packings: crossover takes
 well-filled bins of one parent over into the other, drops the bins that hold a piece twice and puts the displaced pieces back
-by best fit. Between epochs an island's elite goes to its neighbour. At last the bins of a shard that are not full are broken
-up and packed again together with those of other shards.
+by best fit. Between epochs an island's elite goes to its neighbour. Fewer bins are better, and of as many bins those that gather
+the free room in few of them, which leaves fewer bins that aren't full. Those are broken up and packed again, all shards'
+together, in the same way.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,12 +24,22 @@ from weftline.session import settled
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces a shard is meant to hold, islands of a shard, epochs, and shards whose loose bins are packed again together.
-SHARD, ISLANDS, EPOCHS, JOIN = 4096, 2, 2, 8
+#: Pieces a shard is meant to hold, islands of a shard, epochs, and times that bins which aren't full are packed again together.
+SHARD, ISLANDS, EPOCHS, AGAIN = 4096, 2, 2, 1
+#: Individuals of an island; generations of an epoch, and at most where more bins are in use than their sum needs.
+PEOPLE, GENERATIONS, MOST_GENERATIONS = 4, 3, 30
+#: Share of a bin that counts as full.
+FULL = 0.995
 #: Different word parts whose ids a worker keeps.
 KEPT_PARTS = 800_000
 
-# The tokenizer's own splitting pattern, written out for the characters below U+0100 in lower case.
+# The splitting of the tokenizer that the memory of word parts is made for, and its pattern written out for the
+# characters below U+0100 in lower case.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _LETTERS = "a-zªµºß-öø-ÿ"
 _SPACES = r"\t\n\x0b\x0c\r \x85\xa0"
 _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼½¾]|[^{_SPACES}0-9²³¹¼½¾{_LETTERS}]+")
@@ -53,13 +66,17 @@ class Tokens:
     """The tokenizer with a memory of word parts.
 
     It never merges across the parts its pattern splits off, so a text's ids are its parts' ids in a row, and each different
-    part is tokenised once. Chunks with characters above U+00FF or special tokens go to the tokenizer as they are.
+    part is tokenised once. Chunks with characters above U+00FF or special tokens go to the tokenizer as they are. A tokenizer
+    that splits in another way gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        end = own["model"].get("end_of_word_suffix")
+        self.known = ((own["normalizer"] or {}).get("normalizers"), (own["pre_tokenizer"] or {}).get("pretokenizers"), end) == (_NORMALIZERS, _SPLITTERS, "</w>")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -98,6 +115,9 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
+        if not self.known:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
         if len(self.parts) > KEPT_PARTS:
             self.clear()
         split = [self.split(t) for t in texts]
@@ -205,18 +225,17 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity
 Packing = tuple[list[list[int]], list[int]]
 
 
-def fitness(fill: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then bins that are full or empty rather than half full."""
-    return -len(fill), sum((f / capacity) ** 2 for f in fill) / max(1, len(fill))
+def fitness(p: Packing) -> tuple[int, int]:
+    """Fewer bins first, then free room gathered in few bins."""
+    return -len(p[1]), sum(f * f for f in p[1])
 
 
-def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """``a`` with some well-filled bins of ``b``."""
+def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator, told: Counter) -> Packing:
+    """``a`` with some well-filled bins of ``b``; bins of ``a`` that hold a piece of these go, and what they displace is best-fitted
+    with the pieces of the bins that are loosest."""
     bins_b, fill_b = b
-    good = [k for k, f in enumerate(fill_b) if f >= 0.99 * capacity]
-    if not good:
-        good = range(len(bins_b))
-    chosen = [k for k in good if rng.random() < 0.3]
+    good = [k for k, f in enumerate(fill_b) if f >= FULL * capacity] or list(range(len(bins_b)))
+    chosen = [k for k, x in zip(good, (rng.random(len(good)) < 0.3).tolist(), strict=True) if x]
     taken = {i for k in chosen for i in bins_b[k]}
     bins, fill, loose = [bins_b[k][:] for k in chosen], [fill_b[k] for k in chosen], []
     for own, f in zip(*a, strict=True):
@@ -225,43 +244,54 @@ def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.rando
             fill.append(f)
         else:
             loose += [i for i in own if i not in taken]
-    best_fit(sizes, loose, bins, capacity, fill)
-    return bins, fill
+    told.update(crossovers=1, injected=len(chosen), displaced=len(loose))
+    return refitted((bins, fill), loose, sizes, capacity, rng)
 
 
-def mutate(a: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """``a`` with its loosest bins and a few others broken up and best-fitted again."""
-    bins, fill = a
-    worst = set(sorted(range(len(fill)), key=fill.__getitem__)[: max(2, len(fill) // 50)]) | set(rng.integers(0, len(fill), max(1, len(fill) // 50)).tolist())
-    loose = [i for k in worst for i in bins[k]]
-    kept, filled = [bins[k][:] for k in range(len(bins)) if k not in worst], [fill[k] for k in range(len(bins)) if k not in worst]
+def refitted(p: Packing, loose: list[int], sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
+    """``p`` and the loose pieces, its loosest bins and a few others broken up and best-fitted with them."""
+    bins, fill = p
+    few = max(2, len(fill) // 50)
+    worst = set(np.argsort(fill, kind="stable")[:few].tolist()) | set(rng.integers(0, len(fill), few).tolist()) if fill else set()
+    loose = loose + [i for k in worst for i in bins[k]]
+    kept, filled = [own for k, own in enumerate(bins) if k not in worst], [f for k, f in enumerate(fill) if k not in worst]
     best_fit(sizes, loose, kept, capacity, filled)
     return kept, filled
 
 
-def evolve(sizes: list[int], start: list[Packing], capacity: int, seed: int, population: int = 4, generations: int = 3) -> Packing:
-    """The best packing after some generations, from the given ones and best fits of shuffled pieces."""
-    rng = np.random.default_rng(seed)
-    people = list(start)
-    while len(people) < population:
-        bins, fill = [], []
-        if people:  # variety: a random part of the pieces goes in first, by itself
-            some = np.flatnonzero(rng.random(len(sizes)) < 0.5).tolist()
-            best_fit(sizes, some, bins, capacity, fill)
-            rest = set(range(len(sizes))).difference(some)
-            best_fit(sizes, list(rest), bins, capacity, fill)
-        else:
-            best_fit(sizes, list(range(len(sizes))), bins, capacity, fill)
-        people.append((bins, fill))
+def first_people(sizes: list[int], capacity: int, rng: np.random.Generator) -> Iterator[Packing]:
+    """All pieces best-fitted, longest first; then, for variety, a random part of them by itself and the others after it."""
+    some: list[int] = []
+    while True:
+        bins: list[list[int]] = []
+        fill: list[int] = []
+        best_fit(sizes, some, bins, capacity, fill)
+        best_fit(sizes, list(set(range(len(sizes))).difference(some)), bins, capacity, fill)
+        yield bins, fill
+        some = np.flatnonzero(rng.random(len(sizes)) < 0.5).tolist()
+
+
+def evolve(sizes: list[int], start: list[Packing], capacity: int, seed: int, told: Counter | None = None) -> Packing:
+    """The best packing after some generations, from the given ones and more to make up the island's people.
+
+    Every generation crosses the best with another, both ways, and the children take the places of the worst. It goes on while
+    the bins are more than their sum needs and stops early only where no packing is better: all bins but one full to the last.
+    """
+    rng, told = np.random.default_rng(seed), told if told is not None else Counter()
+    people, more = list(start), first_people(sizes, capacity, rng)
+    while len(people) < PEOPLE:
+        people.append(next(more))
     least = -(-sum(sizes) // capacity)
-    for _ in range(generations):
-        people.sort(key=lambda p: fitness(p[1], capacity), reverse=True)
-        if len(people[0][1]) <= least:
+    ideal = -least, (least - 1) * capacity**2 + (sum(sizes) - (least - 1) * capacity) ** 2
+    for g in range(MOST_GENERATIONS):
+        people.sort(key=fitness, reverse=True)
+        best = fitness(people[0])
+        if best == ideal or g >= GENERATIONS and -best[0] <= least:
             break
-        a, b = people[0], people[1 + int(rng.integers(0, len(people) - 1))]
-        people[-1] = cross(a, b, sizes, capacity, rng)
-        people[-2] = mutate(cross(b, a, sizes, capacity, rng), sizes, capacity, rng)
-    return max(people, key=lambda p: fitness(p[1], capacity))
+        other = people[1 + int(rng.integers(0, len(people) - 1))]
+        people[-2:] = [cross(people[0], other, sizes, capacity, rng, told), cross(other, people[0], sizes, capacity, rng, told)]
+        told["better"] += fitness(max(people[-2:], key=fitness)) > best
+    return max(people, key=fitness)
 
 
 def packing_of(sizes: list[int], bin_of: list[int]) -> Packing:
@@ -278,16 +308,24 @@ def labels(p: Packing, n: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, seed: int = 0) -> DataFrame:
-    """``items (id bigint, length bigint)``, ids all different and lengths at most ``capacity``, with ``sequence_id``."""
-    full = items.where(F.col("length") >= capacity).select("id", "length", F.col("id").alias("sequence_id"))
-    part = items.where(F.col("length") < capacity)
-    shards = max(1, -(-part.count() // SHARD))
-    spread = part.select("id", "length", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).alias("shard"))
+ISLAND = "shard bigint, island bigint, rank bigint, id bigint, length bigint, bin bigint, used bigint, squares bigint, crossovers bigint, better bigint"
+
+
+def evolved(items: DataFrame, count: int, capacity: int, seed: int) -> DataFrame:
+    """``items (id, length)`` as every island of their shards packed them after the last epoch.
+
+    ``used`` and ``squares`` say how good an island's packing is, ``crossovers`` and ``better`` how many it made in the last epoch
+    and in how many generations a child was better than all before. Rank 0 is an island's own packing, rank 1 one that came.
+    """
+    shards = max(1, -(-count // SHARD))
+    number = lambda n: F.lit(n).cast("long")
+    rows = items.select(
+        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).alias("shard"), F.explode(F.sequence(number(0), number(ISLANDS - 1))).alias("island"), number(0).alias("rank"), "id", "length",
+        number(-1).alias("bin"), *[number(0).alias(c) for c in ("used", "squares", "crossovers", "better")],
+    )
 
     def island(last: bool) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
-            # one row for each piece and elite that came here: rank 0 is the island's own
             shard, own = table.column("shard")[0].as_py(), table.column("island")[0].as_py()
             ids, size, rank, at = (table.column(c).to_numpy() for c in ("id", "length", "rank", "bin"))
             start, order = [], None
@@ -298,36 +336,41 @@ def pack(items: DataFrame, capacity: int = CAPACITY, seed: int = 0) -> DataFrame
                     order = m
                 if at[m[0]] >= 0:
                     start.append(packing_of(size[m].tolist(), at[m].tolist()))
-            sizes = size[order].tolist()
-            best = evolve(sizes, start, capacity, seed * 1_000_003 + shard * 101 + own + 7 * len(start))
-            bins, n = labels(best, len(sizes)), len(sizes)
-            used = len(best[1])
+            sizes, told = size[order].tolist(), Counter()
+            best = evolve(sizes, start, capacity, seed * 1_000_003 + shard * 101 + own + 7 * len(start), told)
+            n, (_, squares) = len(sizes), fitness(best)
             homes = [(own, 0)] if last else [(own, 0), ((own + 1) % ISLANDS, 1)]
-            return pa.table({"shard": np.full(n * len(homes), shard, np.int64), "island": np.repeat([h for h, _ in homes], n).astype(np.int64), "rank": np.repeat([r for _, r in homes], n).astype(np.int64), "id": np.tile(ids[order], len(homes)), "length": np.tile(size[order], len(homes)), "bin": np.tile(bins, len(homes)), "used": np.full(n * len(homes), used, np.int64)})
+            whole = {"used": len(best[1]), "squares": squares, "crossovers": told["crossovers"], "better": told["better"], "shard": shard}
+            repeated = {"island": [h for h, _ in homes], "rank": [r for _, r in homes]}
+            tiled = {"id": ids[order], "length": size[order], "bin": labels(best, n)}
+            columns = {k: np.full(n * len(homes), v, np.int64) for k, v in whole.items()} | {k: np.repeat(np.array(v, np.int64), n) for k, v in repeated.items()} | {k: np.tile(v, len(homes)) for k, v in tiled.items()}
+            return pa.table(columns).select([c.split()[0] for c in ISLAND.split(", ")])
 
         return run
 
-    kind = "shard bigint, island bigint, rank bigint, id bigint, length bigint, bin bigint, used bigint"
-    rows = spread.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long"))).alias("island"), F.lit(0).cast("long").alias("rank"), "id", "length", F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"))
     for epoch in range(EPOCHS):
-        rows = rows.groupBy("shard", "island").applyInArrow(island(epoch == EPOCHS - 1), kind)
-    # the better island of each shard; then bins that aren't full are broken up and packed with those of other shards
-    packed = settled(rows)
-    best = packed.groupBy("shard").agg(F.min(F.struct("used", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
-    chosen = packed.join(best, ["shard", "island"])
-    loose = F.sum("length").over(Window.partitionBy("shard", "bin")) < int(0.995 * capacity)
-    judged = settled(chosen.withColumn("loose", loose).select("shard", "id", "length", "bin", "loose"))
-    done = judged.where(~F.col("loose")).select("id", "length", (-1 - (F.col("shard") * 2 * SHARD * 64 + F.col("bin"))).alias("sequence_id"))
-
-    def again(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy())
-        ids, size = (table.column(c).to_numpy()[order] for c in ("id", "length"))
-        best = evolve(size.tolist(), [], capacity, seed)
-        first = np.array([min(ids[own]) for own in best[0]], np.int64)
-        return pa.table({"id": ids, "length": size, "sequence_id": first[labels(best, len(ids))]})
-
-    merged = judged.where("loose").withColumn("team", F.floor(F.col("shard") / JOIN)).select("team", "id", "length").groupBy("team").applyInArrow(again, "id bigint, length bigint, sequence_id bigint")
-    return full.unionByName(done).unionByName(merged)
+        rows = rows.groupBy("shard", "island").applyInArrow(island(epoch == EPOCHS - 1), ISLAND)
+    return rows
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, seed: int = 0) -> DataFrame:
+    """``items (id bigint, length bigint)``, ids all different and lengths at most ``capacity``, with ``sequence_id``: the least id
+    of the sequence."""
+    done = items.where(F.col("length") >= capacity).select("id", "length", F.col("id").alias("sequence_id"))
+    rest = items.where(F.col("length") < capacity)
+    for turn in range(AGAIN + 1):
+        count = rest.count()
+        packed = settled(evolved(rest, count, capacity, seed + turn))
+        # the better island of each shard
+        best = packed.groupBy("shard").agg(F.min(F.struct("used", -F.col("squares"), "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
+        whole = Window.partitionBy("shard", "bin")
+        chosen = packed.join(best, ["shard", "island"]).select("id", "length", F.min("id").over(whole).alias("sequence_id"), F.sum("length").over(whole).alias("filled"))
+        if turn < AGAIN and count > SHARD:
+            chosen = settled(chosen)
+            done = done.unionByName(chosen.where(F.col("filled") >= int(FULL * capacity)).drop("filled"))
+            rest = chosen.where(F.col("filled") < int(FULL * capacity)).select("id", "length")
+        else:
+            return done.unionByName(chosen.drop("filled"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, seed: int = 0) -> DataFrame:
