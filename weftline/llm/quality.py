@@ -49,11 +49,6 @@ def features(text: str | None, orders: int = 3) -> np.ndarray:
             break
         g = (g[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[n:]
         out.append(g * np.uint64(0xC2B2AE3D27D4EB4F))
-    # a pair of one token twice is also the pair "same, same", so stutter is known whatever the word
-    same = int((h[1:] == h[:-1]).sum())
-    if same:
-        levels = 1 + min(7, int(np.log2(1 + 64 * same / len(h))))
-        out.append(np.arange(1, levels + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return np.unique((np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
@@ -124,4 +119,6 @@ def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", thres
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every text's score by a model of the labels outside fold 0. A null text is empty and a null id counts as an empty text for
+    its fold; repeated rows are scored each."""
     return score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")

@@ -161,6 +161,8 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every text's score by a model of the labels outside fold 0. A null text is empty and a null id counts as an empty text for
+    its fold; repeated rows are scored each."""
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
