@@ -54,6 +54,15 @@ def sampled_labels(labels: DataFrame, target: str, folds: int = 5, per_class: in
     return one.where(uniform(F.lit("sample"), F.col("__key")) < rate), rates.get(0, 1.0) / rates.get(1, 1.0)
 
 
+def with_least(rows: DataFrame, group: str, value: str, name: str, most: int = 1000) -> DataFrame:
+    """``rows`` (cheap to read, see ``settled``) with the least ``value`` of their group as ``name``; a group of more than ``most``
+    rows meets its name in many tasks."""
+    least = settled(rows.groupBy(group).agg(F.min(value).alias(name), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts")))
+    large = broadcast_if_small(settled(least.where("__parts > 1").select(group, "__parts")), 200_000)
+    salted = rows.join(large, group, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    every = least.select(group, name, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__salt"))
+    return salted.join(every, [group, "__salt"]).drop("__salt")
+
 
 def text_hash(text: str) -> Column:
     """``th``, which tells texts apart; a null text is empty."""

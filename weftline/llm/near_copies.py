@@ -1,12 +1,14 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies: SimHash near-duplicates held to an exact similarity of word shingles.
 
-Two texts are near copies if the sets of their shingles of five words have a Jaccard similarity of 0.8 or more. Candidates come
-from min-hashes, 40 bands of five: a pair at 0.8 shares no band with a probability of 1.2e-7, and less above. Every candidate's
-similarity is then worked out from both whole sets, so no link is a guess.
+Two texts are near copies if the sets of their shingles of five words have a Jaccard similarity of 0.8 or more. The nearest are
+found by operator 6: SimHash fingerprints of those shingles, linked within four bits by pigeonring filtering. Texts at 0.8 to 0.9
+differ in 5 to 13 bits, too many for any filter by segments, so min-hashes find the rest: 40 bands of five; a pair at 0.8 shares
+no band with a probability of 1.2e-7, and less above. Every candidate's similarity is then worked out from both whole sets, so no
+link is a guess.
 
-Work is on different sets. Links are looked for in three rounds, so that a crowd of near copies costs what it has members, not
-pairs: each set against the smallest set that it shares a band with, then against the smallest of each of its bands, then all
-pairs of a band that are not yet in one component.
+Work is on different sets. Links are looked for in rounds, so that a crowd of near copies costs what it has members, not pairs:
+the fingerprints' links, then each set against the smallest set that it shares a band with, then against the smallest of each of
+its bands, then all pairs of a band that are not yet in one component.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import broadcast_if_small, representatives, text_hash
-from weftline.llm.simhash import GROUP_ROWS, LEAST_GROUPS, stars
+from weftline.llm.common import broadcast_if_small, representatives, text_hash, with_least
+from weftline.llm.simhash import GROUP_ROWS, LEAST_GROUPS, fingerprint, links, shingle_hashes, stars
 from weftline.session import settled
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -33,14 +35,8 @@ _WEIGHTS = _RNG.integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted different hashes of the text's shingles, A-Z lower-cased. Fewer words make one shingle; none make none."""
-    w = text.lower().split() if text else []
-    if not w:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(w) <= words:
-        return np.array([digest(b" ".join(w), SEED)], np.uint64)
-    return np.unique(np.array([digest(b" ".join(s), SEED) for s in zip(*[w[i:] for i in range(words)])], np.uint64))
+    """Sorted different hashes of the text's shingles."""
+    return np.unique(shingle_hashes(text, words, SEED))
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -58,16 +54,21 @@ def set_id(found: np.ndarray) -> int:
 
 
 def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, th, sid, bands)`` of each row: the hash of its text, the id of its set of shingles, and the set's bands."""
+    """``(key, th, fp, sid, bands)`` of each row: the hash of its text, its fingerprint, the id of its set of shingles, and the set's
+    bands."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            sids = pa.array([set_id(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sids, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["key", "th", "sid", "bands"])
+            fps, sids, every = np.empty(b.num_rows, np.uint64), [], []
+            for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+                hashes = shingle_hashes(t, WORDS, SEED)
+                fps[i], own = fingerprint(hashes), np.unique(hashes)
+                sids.append(set_id(own))
+                every.append(bands(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(sids, pa.int64()), pa.array(every, pa.list_(pa.int64()))], names=["key", "th", "fp", "sid", "bands"])
 
-    return docs.select(f"`{key}`", text_hash(text), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"key {kind}, th bigint, sid bigint, bands array<bigint>")
+    return docs.select(f"`{key}`", text_hash(text), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"key {kind}, th bigint, fp bigint, sid bigint, bands array<bigint>")
 
 
 def members(marked: DataFrame) -> DataFrame:
@@ -117,24 +118,36 @@ def confirmed(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> D
     return settled(both.where(F.col("both") / (F.size("u_set") + F.size("v_set") - F.col("both")) >= least).select("u", "v"))
 
 
+def alike(marked: DataFrame) -> DataFrame:
+    """Candidates ``(u, v)`` among sets: those of one fingerprint, and a spanning forest of the fingerprints' links."""
+    sets = settled(marked.select("fp", "sid").distinct())
+    heads = settled(sets.groupBy("fp").agg(F.min("sid").alias("head")))
+    same = sets.join(heads, "fp").where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
+    head = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
+    near = links(heads.select("fp")).join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    return settled(same.unionByName(near).where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
+
+
 def components(docs: DataFrame, marked: DataFrame, text: str) -> DataFrame:
     """``(sid, root)`` of each set that has a near copy and isn't the smallest of its component."""
     shared = settled(members(marked))
-    sets = settled(sets_of(docs, marked, shared.select("sid").distinct(), text))
+    near = alike(marked)
+    sets = settled(sets_of(docs, marked, shared.select("sid").unionByName(near.select(F.col("u").alias("sid"))).unionByName(near.select(F.col("v").alias("sid"))).distinct(), text))
     rooted = lambda df, star, side: df.join(star.select(F.col("u").alias(side), F.col("root").alias("r")), side, "left").withColumn(f"{side}_root", F.coalesce("r", side)).drop("r")
     apart = lambda df, star: rooted(rooted(df, star, "u"), star, "v").where("u_root <> v_root").select("u", "v")
     first = shared.groupBy(F.col("sid").alias("u")).agg(F.min("head").alias("v")).where("u <> v")
-    links = confirmed(first, sets)
-    star = stars(links)
+    linked = confirmed(near, sets)
+    linked = linked.unionByName(confirmed(apart(first, stars(linked)), sets))
+    star = stars(linked)
     second = shared.where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    links = links.unionByName(confirmed(apart(second, star), sets))
-    star = stars(links)
+    linked = linked.unionByName(confirmed(apart(second, star), sets))
+    star = stars(linked)
     # the heads have been held against all of their bands
     rest = rooted(shared.where("sid <> head").select("band", F.col("sid").alias("u")), star, "u")
     mixed = rest.groupBy("band").agg(F.min("u_root").alias("a"), F.max("u_root").alias("b")).where("a <> b").select("band")
     rest = settled(rest.join(mixed, "band", "left_semi"))
     pairs = rest.join(rest.select("band", F.col("u").alias("v"), F.col("u_root").alias("v_root")), "band").where("u < v and u_root <> v_root").select("u", "v").distinct()
-    return stars(links.unionByName(confirmed(pairs, sets))).withColumnRenamed("u", "sid")
+    return stars(linked.unionByName(confirmed(pairs, sets))).withColumnRenamed("u", "sid")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
@@ -145,5 +158,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_
     marked = settled(marks(docs, key, text))
     star = components(docs, marked, text)
     found = settled(marked.select("key", "th", "sid").join(star, "sid", "left").select("key", "th", F.coalesce("root", "sid").alias("root")))
-    names = found.groupBy("root").agg(F.min("key").alias("component"))
-    return representatives(docs, settled(found.join(names, "root")), key, text, most_broadcast)
+    return representatives(docs, settled(with_least(found, "root", "key", "component")), key, text, most_broadcast)

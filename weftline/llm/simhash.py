@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftline.llm.common import representatives, text_hash
+from weftline.llm.common import representatives, text_hash, with_least
 from weftline.session import settled
 
 #: Rows (five for each fingerprint) that one group of the candidate search is meant to hold, and the least number of groups.
@@ -27,24 +27,27 @@ GROUP_ROWS, LEAST_GROUPS = 200_000, 48
 CHUNK = 2_000_000
 
 
-def text_fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of a text's shingles of ``words`` words, A-Z lower-cased; bits set in over half of their XXH64 values.
-
-    Fewer words make one shingle; none make fingerprint 0.
-    """
+def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's shingles of ``words`` words, A-Z lower-cased, repeats included. Fewer words make one shingle; none make none."""
     w = text.lower().split() if text else []
-    if not w:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(w) <= words:
-        return digest(b" ".join(w), seed)
-    hashes = np.array([digest(b" ".join(s), seed) for s in zip(*[w[i:] for i in range(words)])], dtype="<u8")
+        return np.array([digest(b" ".join(w), seed)] if w else [], "<u8")
+    return np.array([digest(b" ".join(s), seed) for s in zip(*[w[i:] for i in range(words)])], "<u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash: the bits that are set in over half of the hashes; 0 if there are none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def text_fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    return fingerprint(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """``(key, th, fp)`` for each row, th being its text's hash; a null text is empty."""
     kind = docs.schema[key].dataType.simpleString()
@@ -193,9 +196,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     distinct = settled(marked.groupBy("fp").agg(F.min("key").alias("least")))
     star = stars(links(distinct.select("fp"), bits, segments))
     rooted = distinct.join(star, distinct["fp"] == star["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = settled(rooted)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("fp", "root", "component")
+    named = with_least(settled(rooted), "root", "least", "component").select("fp", "root", "component")
     return marked.join(named, "fp").select("key", "th", "fp", "root", "component")
 
 
@@ -209,5 +210,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of each row. A null text is empty; a null id names a component only where no other does; repeated
+    rows each have their row."""
     out = near_duplicates(docs)
     return out.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -68,18 +68,19 @@ class Model:
 def train(texts: list[bytes], labels: np.ndarray, width: int = 6, rounds: int = 6, batch: int = 128, rate: float = 1.0, least_docs: int = 8, seed: int = 7) -> Model:
     """AdaGrad on the cross entropy; embeddings and softmax move together. The same texts in the same order give the same model."""
     rng = np.random.default_rng(seed)
-    bags, spread_over = [], np.zeros(1 << BITS, np.int32)
-    for t in texts:
+    bags, spread_over, grams = [], np.zeros(1 << BITS, np.int32), np.ones(len(texts), np.float32)
+    for k, t in enumerate(texts):
         ids, n = np.unique(buckets(t), return_counts=True)
         spread_over[ids] += 1
-        bags.append((ids.astype(np.uint32), (n / max(1, n.sum())).astype(np.float32)))
+        grams[k] = max(1, n.sum())
+        bags.append((ids.astype(np.uint32), n.astype(np.min_scalar_type(n.max(initial=0)))))  # most counts fit a byte
     # n-grams of few documents, like those never seen, keep embedding zero: they say nothing, and only remember documents
     known = np.flatnonzero(spread_over >= least_docs)
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
-    for k, (ids, part) in enumerate(bags):  # in place, so that the bags are held once
+    for k, (ids, n) in enumerate(bags):  # in place, so that the bags are held once
         at = place[ids]
-        bags[k] = at[at >= 0], part[at >= 0]
+        bags[k] = at[at >= 0], n[at >= 0]
     embedding, softmax, bias = np.zeros((len(known), width), np.float32), rng.normal(0, 1, (width, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen_e, seen_w, seen_b = (np.full(x.shape, 1e-8, np.float32) for x in (embedding, softmax, bias))
     for turn in range(rounds):
@@ -89,7 +90,7 @@ def train(texts: list[bytes], labels: np.ndarray, width: int = 6, rounds: int =
             own = [k for k in order[i : i + batch] if len(bags[k][0])]
             if not own:
                 continue
-            ids, part = np.concatenate([bags[k][0] for k in own]), np.concatenate([bags[k][1] for k in own])
+            ids, part = np.concatenate([bags[k][0] for k in own]), np.concatenate([bags[k][1] / grams[k] for k in own])
             size = np.array([len(bags[k][0]) for k in own])
             at = np.r_[0, np.cumsum(size)[:-1]]
             mean = np.add.reduceat(embedding[ids] * part[:, None], at, axis=0)
