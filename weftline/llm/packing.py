@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.session import settled
@@ -62,6 +63,19 @@ class Words(dict):
         return n
 
 
+class Grown:
+    """Numbers in a row, with room for more."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.n = np.empty(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.r_[self.data[: self.n], np.empty(max(len(more), self.n // 2), self.data.dtype)]
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Tokens:
     """The tokenizer with a memory of word parts.
 
@@ -83,7 +97,8 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.parts, self.ids, self.start, self.size = Words(), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.parts, self.ids, self.begin = Words(), Grown(np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), Grown(np.uint32)
+        self.begin.add(np.zeros(1, np.uint32))
 
     def split(self, text: str) -> list[str]:
         lower = text.lower()
@@ -110,8 +125,8 @@ class Tokens:
             else:
                 pieces += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.removeprefix(RAW) for p in some], add_special_tokens=False)]
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
-        self.size, self.ids = np.r_[self.size, size], np.concatenate([self.ids, *pieces])
+        self.begin.add(self.ids.n + np.cumsum(size))
+        self.ids.add(np.concatenate(pieces))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
@@ -124,11 +139,12 @@ class Tokens:
         number = self.parts.__getitem__
         words = np.fromiter((number(p) for parts in split for p in parts), np.int64, sum(map(len, split)))
         self.learn()
-        size = self.size[words]
+        begin = self.begin.data[words].astype(np.int64)
+        size = self.begin.data[words + 1] - begin
         ends = np.cumsum(size)
-        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.start[words], size)
+        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - begin, size)
         of_text = np.r_[0, ends][np.cumsum([0, *map(len, split)])]
-        return self.ids[places], np.diff(of_text)
+        return self.ids.data[places].astype(np.uint32), np.diff(of_text)
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -148,7 +164,7 @@ def tokenizer_path() -> str:
 
 PIECES = "doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Bytes of text that are tokenised at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,10 +174,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens(path or tokenizer_path())
         for whole in batches:
-            texts = whole.column(1).fill_null("").to_pylist()
-            cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // TEXT_BYTES)) + 1
+            texts = whole.column(1).fill_null("")
+            sizes = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.flatnonzero(np.diff(sizes // TEXT_BYTES)) + 1
             for i, j in zip([0, *cuts], [*cuts, len(texts)], strict=True):
-                ids, sizes = model.encode(texts[i:j])
+                ids, sizes = model.encode(texts.slice(i, j - i).to_pylist())
                 doc, number, start, length, crc = [], [], [], [], []
                 at = 0
                 for k, n in enumerate(sizes.tolist()):
