@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.session import settled
@@ -10,6 +12,17 @@ from weftline.session import settled
 UNIFORM_DIGITS = 13
 
 
+_HOLDER: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """Called by a task that is about to remember things in its worker: what another operator remembered there is forgotten."""
+    if not _HOLDER or _HOLDER[0][0] != owner:
+        for _, forget_other in _HOLDER:
+            forget_other()
+        _HOLDER[:] = [(owner, forget)]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under ``names`` (in either case)."""
     taken = {n.lower() for n in names}

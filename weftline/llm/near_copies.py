@@ -8,7 +8,7 @@ link is a guess.
 
 Work is on different sets. Links are looked for in rounds, so that a crowd of near copies costs what it has members, not pairs:
 the fingerprints' links, then each set against the smallest set that it shares a band with, then against the smallest of each of
-its bands, then all pairs of a band that are not yet in one component.
+its bands. Bands that still hold several components are settled by the rare shingles that similar sets must share.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import broadcast_if_small, representatives, text_hash, with_least
+from weftline.llm.common import broadcast_if_small, claim, representatives, text_hash, with_least
 from weftline.llm.simhash import GROUP_ROWS, LEAST_GROUPS, fingerprint, links, shingle_hashes, stars
 from weftline.session import settled
 
@@ -59,6 +59,7 @@ def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_copies", lambda: None)
         for b in batches:
             fps, sids, every = np.empty(b.num_rows, np.uint64), [], []
             for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
@@ -142,12 +143,33 @@ def components(docs: DataFrame, marked: DataFrame, text: str) -> DataFrame:
     second = shared.where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     linked = linked.unionByName(confirmed(apart(second, star), sets))
     star = stars(linked)
-    # the heads have been held against all of their bands
-    rest = rooted(shared.where("sid <> head").select("band", F.col("sid").alias("u")), star, "u")
+    # bands whose sets are not yet in one component
+    rest = settled(rooted(shared.select("band", F.col("sid").alias("u")), star, "u"))
     mixed = rest.groupBy("band").agg(F.min("u_root").alias("a"), F.max("u_root").alias("b")).where("a <> b").select("band")
-    rest = settled(rest.join(mixed, "band", "left_semi"))
-    pairs = rest.join(rest.select("band", F.col("u").alias("v"), F.col("u_root").alias("v_root")), "band").where("u < v and u_root <> v_root").select("u", "v").distinct()
-    return stars(linked.unionByName(confirmed(pairs, sets))).withColumnRenamed("u", "sid")
+    left = settled(rest.join(mixed, "band", "left_semi").select(F.col("u").alias("sid"), F.col("u_root").alias("root")).distinct())
+    return stars(linked.unionByName(confirmed(by_rare_shingles(left, sets), sets))).withColumnRenamed("u", "sid")
+
+
+def by_rare_shingles(left: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Candidates ``(u, v)`` among sets ``(sid, root)`` of different components, every pair that is similar enough included.
+
+    With all shingles in one order, rare ones first, two sets of that similarity share one of the first |x| - ceil(least |x|) + 1
+    of each, early enough for the rest to suffice. Texts that have a common body and a ninth of their own are no candidates.
+    """
+    own = sets.join(left, "sid").select("sid", "root", F.size("shingles").alias("n"), "shingles")
+    every = settled(own.select("sid", F.explode("shingles").alias("shingle")))
+    common = every.groupBy("shingle").count().where("count > 1")
+    # a shingle of one set comes first and pairs nothing: how many a set has is enough
+    order = every.join(common, "shingle").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("shared"))
+    begin = F.greatest(F.lit(0), F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    first = settled(order.join(own.drop("shingles"), "sid").select("sid", "root", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), begin)).alias("at", "x")).select("sid", "root", "n", (F.col("m") - F.col("at")).alias("rest"), "x.shingle"))
+    mixed = first.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
+    first = settled(first.join(mixed, "shingle", "left_semi"))
+    other = first.select("shingle", F.col("sid").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("v_n"), F.col("rest").alias("v_rest"))
+    # from the first shared shingle on, the rest of both must hold as many as two sets of these sizes have to share
+    enough = F.least("rest", "v_rest") >= least / (1 + least) * (F.col("n") + F.col("v_n")) - 1e-6
+    near = first.join(other, "shingle").where((F.col("sid") < F.col("v")) & (F.col("root") != F.col("v_root")) & enough)
+    return near.select(F.col("sid").alias("u"), "v").distinct()
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 200_000) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weftline.llm.common import claim
 from weftline.session import settled
 
 CAPACITY = 2048
@@ -172,6 +173,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _TOKENS.clear)
         model = tokens(path or tokenizer_path())
         for whole in batches:
             texts = whole.column(1).fill_null("")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from weftline.llm.common import remainder, sampled_labels, without
+from weftline.llm.common import claim, remainder, sampled_labels, without
 
 GRAMS = (3, 4, 5, 6)
 BITS = 18
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
     sample = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(chosen), "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         texts, ys = [], []
         for b in batches:
             texts += b.column(0).to_pylist()
@@ -149,6 +150,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     names, at = [*base.columns, "score", "predicted"], base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         for b in batches:
             out = np.empty(b.num_rows)
             for i, t in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
