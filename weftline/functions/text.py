@@ -139,7 +139,7 @@ def category_of(extension: Column) -> Column:
 
 #: Kinds of files.
 CATEGORIES = {
-    ".pdf": "document", ".docx": "document", ".pptx": "presentation", ".png": "image", ".jpg": "image", ".jpeg": "image", ".webp": "image", ".gif": "image",
+    ".pdf": "document", ".docx": "document", ".pptx": "document", ".png": "image", ".jpg": "image", ".jpeg": "image", ".webp": "image", ".gif": "image",
     ".txt": "text", ".md": "text", ".html": "text", ".htm": "text", ".wav": "audio", ".mp3": "audio", ".m4a": "audio", ".mp4": "video", ".mov": "video", ".webm": "video",
 }
 

@@ -22,9 +22,10 @@ def mark_duplicates(df: DataFrame, digest: str, position: str, key: str) -> Data
 
 
 def asset_targets(df: DataFrame, digest: str, position: str, key: str) -> DataFrame:
-    """``df`` with ``target_id``: the id under which the content is copied once, that of its first row."""
-    first = df.groupBy(F.col(digest).alias("__d")).agg(F.min_by(key, F.struct(position, key)).alias("target_id"))
-    return df.join(first, F.col(digest).eqNullSafe(F.col("__d"))).drop("__d")
+    """``df`` with ``target_id``: the id under which the content is copied once, that of its first row. A row without a hash is its
+    own target."""
+    first = df.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("__d")).agg(F.min_by(key, F.struct(position, key)).alias("__t"))
+    return df.join(first, F.col(digest) == F.col("__d"), "left").withColumn("target_id", F.coalesce("__t", F.col(key))).drop("__d", "__t")
 
 
 def summary(df: DataFrame, group: str, category: str, digest: str) -> DataFrame:

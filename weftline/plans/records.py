@@ -175,7 +175,7 @@ def id_overlap(t: Tables) -> DataFrame:
 
 @query("select doc_id from documents except select doc_id from labels")
 def id_except(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id").exceptAll(t.labels.select("doc_id"))
+    return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
 
 
 @query("select source, count(*) as total, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as toxic, count(*) filter (where quality = 1) < 10 as few_good from documents left join labels using (doc_id) group by source")

@@ -27,10 +27,13 @@ def build_session(app: str = "weftline", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder of this machine is used.
+    Only where the setting is absent and all runs on one machine (tests, a laptop) a temporary folder of this machine is used; a
+    cluster without the setting is refused, as its executors would not find each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="weftline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
