@@ -56,3 +56,19 @@ def test_id_list_and_writer(spark, tmp_path):
         assert spark.read.format(fmt).load(str(tmp_path / fmt)).count() == 2
     with pytest.raises(Exception, match="already exists"):
         write_records(ids, str(tmp_path / "json"))
+
+
+def test_uris_and_order(spark, tmp_path):
+    for name in ("z.txt", "sub/b.txt", "sub/deep/c.txt", "gone/x.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"same")
+    uri = f"file://{tmp_path}/"
+    files = manifest(scan_files(spark, [uri], [f"file://{tmp_path}/gone/"]))
+    marks = {r.relative_path: r.exact_duplicate for r in files.collect()}
+    # a folder's files are found before its folders, so z.txt is the first
+    assert marks == {"z.txt": False, "sub/b.txt": True, "sub/deep/c.txt": True}
+    assert [r.relative_path for r in scan_files(spark, [f"{tmp_path}/z.txt"]).collect()] == ["z.txt"]
+    large = manifest(scan_files(spark, [uri], max_bytes=1), 1).where("relative_path = 'z.txt'").first()
+    assert large.id.startswith("u-") and len(large.id) == 26
+    with pytest.raises(ValueError, match="absolute"):
+        scan_files(spark, ["some/folder"])

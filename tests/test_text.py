@@ -136,3 +136,17 @@ def test_emoji(spark):
     docs = spark.createDataFrame([(1, "好😀"), (2, "好😀😀"), (3, "😀a😀b😀"), (4, "无")], "doc_id long, text string")
     got = {r.doc_id: (r.n_emoji, r.adjacent, r.ok) for r in R.emoji_stats(docs).collect()}
     assert got == {1: (1, False, True), 2: (2, True, False), 3: (3, False, False), 4: (0, False, True)}
+
+
+def test_paragraphs(spark):
+    xml = '<w:body><w:p><w:r><w:t>one</w:t><w:t xml:space="preserve"> &amp; &#x4e8c;</w:t></w:r></w:p><w:p/><w:p w:id="1"><w:tab/><w:t a="b"/></w:p><w:p><w:t>two</w:t></w:p></w:body>'
+    assert value(spark, T.xml_leaf_text(F.col("x")), x=xml) == "one & 二\ntwo"
+    assert value(spark, F.size(T.xml_paragraphs(F.col("x"))), x=xml) == 2
+
+
+def test_references(spark):
+    import html
+
+    for text in ("caf&eacute; &#233; &#x41; &mdash;", "&amp;lt; a&b &; &nosuch; &copy 2", "&#128; &#x99; &#0; &#xD800; &#x110000; &#1114111;", "&#128512;", "no", "", "&&amp;&"):
+        assert value(spark, T.unescaped(F.col("t")), t=text) == html.unescape(text), text
+    assert spark.sql("select cast(null as string) as t").select(T.unescaped(F.col("t")).alias("o")).first().o is None

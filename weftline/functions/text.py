@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+import json
+
 from pyspark.sql import Column, functions as F
 
 #: Characters that end a line.
@@ -11,7 +15,7 @@ SENTENCE_END, CLAUSE_END = "。！？!?；;", "，,、：:"
 #: HTML elements whose text is hidden, and those that break lines when they open and when they close.
 HIDDEN = ("script", "style", "noscript", "template")
 BREAK_OPEN, BREAK_CLOSE = "p|div|li|br|h1|h2|h3|h4|h5|h6", "p|div|li"
-#: Entities that are decoded, the ampersand last.
+#: Commonest entities, the ampersand last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 #: Words that mark a variant of a file, alone between separators or anywhere.
 VARIANT = r"(?i)(^|[\s._-])(final|old|new|draft|rev\d*|x)([\s._-]|$)|改|新版|旧版|终稿|定稿"
@@ -39,6 +43,28 @@ def bounded_text(c: Column, most: int = 250_000) -> Column:
     return F.struct(F.when(cut, F.regexp_replace(F.substring(whole, 1, most), r"(?U)\s+$", "")).otherwise(whole).alias("text"), cut.alias("truncated"))
 
 
+def unescaped(c: Column) -> Column:
+    """Named and numeric character references decoded once, by HTML's rules: older names need no semicolon, numbers 128 to 159 are
+    Windows-1252, impossible code points are U+FFFD, control characters and non-characters nothing, and unknown names stay. A name that runs on into other letters without a
+    semicolon stays, too."""
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    low = F.from_json(F.lit(json.dumps({str(n): html.unescape(f"&#{n};") for n in range(160)})), "map<string,string>")
+
+    def decoded(token: Column) -> Column:
+        digits = F.regexp_extract(token, "^&#([0-9]{1,9});?$", 1)
+        hexes = F.regexp_extract(token, "(?i)^&#x0*([0-9a-f]{1,7});?$", 1)
+        number = F.coalesce(F.try_to_number(F.nullif(digits, F.lit("")), F.lit("999999999")).cast("long"), F.conv(F.nullif(hexes, F.lit("")), 16, 10).cast("long"))
+        wrong = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        none = (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE) | number.between(0xFDD0, 0xFDEF)
+        numeric = F.when(wrong, F.lit("\ufffd")).when(none, F.lit("")).otherwise(F.coalesce(F.try_element_at(low, number.cast("string")), point))
+        return F.when(number.isNotNull(), numeric).otherwise(F.coalesce(F.try_element_at(names, F.substring(token, 2, 64)), token))
+
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)&(?:#[xX]?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"), F.lit(0))
+    parts = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit("&")) & (F.length(t) > 1), decoded(t)).otherwise(t))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
 def html_visible_text(c: Column) -> Column:
     """Text that a reader of the page sees: no scripts, styles or comments; block elements break lines; other tags part words."""
     attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
@@ -48,9 +74,7 @@ def html_visible_text(c: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<!--.*?-->|(?i)<!doctype[^>]*>", " ")
     out = F.regexp_replace(out, rf"(?i)<(?:{BREAK_OPEN})\b{attributes}>|</(?:{BREAK_CLOSE})\s*>", " \n ")
     out = F.regexp_replace(out, rf"</?[A-Za-z]{attributes}>", " ")
-    for entity, text in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(text))
-    return normalize_text(out)
+    return normalize_text(unescaped(out))
 
 
 def speech_length(c: Column) -> Column:
@@ -125,10 +149,13 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def material_id(digest: Column, root: Column, path: Column) -> Column:
-    """``m-`` with 16 digits of the content's hash and 8 of the hash of where it lies; ``u-`` where there is no hash."""
-    place = F.substring(F.sha2(F.concat_ws(":", root.cast("string"), path.cast("string")), 256), 1, 8)
-    return F.when(digest.isNull(), F.concat(F.lit("u-"), place)).otherwise(F.concat(F.lit("m-"), F.substring(digest, 1, 16), F.lit("-"), place))
+def material_id(digest: Column, root: Column, path: Column, size: Column | None = None, modified_at: Column | None = None) -> Column:
+    """``m-`` with 16 digits of the content's hash and 8 of the hash of where it lies. Where there is no hash, ``u-`` with 24 digits
+    of the hash of where it lies, its size and its time in nanoseconds (as exact as the file system's time), as far as given."""
+    where = F.concat_ws(":", root.cast("string"), path.cast("string"))
+    facts = [where] + ([size.cast("string")] if size is not None else []) + ([(F.unix_micros(modified_at) * 1000).cast("string")] if modified_at is not None else [])
+    place = F.substring(F.sha2(where, 256), 1, 8)
+    return F.when(digest.isNull(), F.concat(F.lit("u-"), F.substring(F.sha2(F.concat_ws(":", *facts), 256), 1, 24))).otherwise(F.concat(F.lit("m-"), F.substring(digest, 1, 16), F.lit("-"), place))
 
 
 def category_of(extension: Column) -> Column:
@@ -172,9 +199,18 @@ def image_dims(content: Column, mime: Column) -> Column:
     return F.when((mime == "image/png") & (F.length(content) >= 24), png).when((mime == "image/gif") & (F.length(content) >= 10), gif)
 
 
+def xml_paragraphs(xml: Column, paragraph: str = "p", leaf: str = "t") -> Column:
+    """Array of the texts of an XML part's paragraphs, by whatever namespace prefix they have: each one's ``leaf`` elements joined and
+    stripped, empty ones left out. The XML isn't validated; a paragraph inside another ends the outer one's text."""
+    tag = r"<(?:[\w.-]+:)?"
+    ends = F.regexp_replace(xml, rf"{tag}{paragraph}(?:\s[^>]*)?>|</(?:[\w.-]+:)?{paragraph}\s*>", "\u0000")
+    leaves = lambda part: F.regexp_extract_all(part, F.lit(rf"{tag}{leaf}(?:\s(?:[^>]*[^>/])?)?>([^<]*)</"), F.lit(1))
+    return _stripped(F.transform(F.split(ends, "\u0000"), lambda part: unescaped(F.array_join(leaves(part), ""))))
+
+
 def xml_leaf_text(xml: Column, paragraph: str = "p", leaf: str = "t") -> Column:
-    """Texts of ``leaf`` elements of an XML part, joined, by whatever namespace prefix they have."""
-    return F.array_join(F.xpath(xml, F.lit(f'//*[local-name()="{leaf}"]/text()')), "")
+    """The paragraphs of an XML part, one a line; the size of :func:`xml_paragraphs` counts them."""
+    return F.array_join(xml_paragraphs(xml, paragraph, leaf), "\n")
 
 
 def decode_text(content: Column) -> Column:

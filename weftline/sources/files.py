@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
 from weftline.operators.checks import union_all
@@ -14,26 +15,45 @@ from weftline.operators.duplicates import mark_duplicates
 IGNORED = (".ds_store", "thumbs.db", "desktop.ini")
 
 
+#: What comes before the path in a URI: scheme and authority.
+_SITE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _place(uri: str) -> str:
+    """The path of an absolute path or URI, without a slash at its end."""
+    path = re.sub("/+", "/", re.sub(_SITE, "", uri)).rstrip("/")
+    if not re.sub(_SITE, "", uri).startswith("/"):
+        raise ValueError(f"not an absolute path or URI: {uri}")
+    return path
+
+
+def discovery_order(path: Column) -> Column:
+    """Sort key of a path under its root: a folder's files before its folders, each in natural order."""
+    parts = F.split(path, "/")
+    return F.transform(parts, lambda p, i: F.struct((i < F.size(parts) - 1).cast("int").alias("folder"), T.natural_key(p).alias("name"), p.alias("exact")))
+
+
 def scan_files(spark: SparkSession, roots: Sequence[str], exclude: Sequence[str] = (), max_depth: int = 12, max_bytes: int = 1 << 30) -> DataFrame:
     """All files under the roots: root_index, relative_path, name, extension, depth, bytes, modified_at, content.
 
     Files too large have null content; the size is a filter on the scan, so such a file is never read. Ignored names, excluded
-    folders and files, and files deeper than ``max_depth`` folders are left out. Links are followed or not as the file system
-    does. The order of materials is by root and then natural order of the path.
+    folders and files, and files deeper than ``max_depth`` folders are left out, and so are names that Spark's readers hide, with a dot or an
+    underscore first. Links are followed or not as the file system does. Roots and exclusions are absolute paths or URIs; a root may
+    be a file, which lies at the top. The order of materials is by root and then :func:`discovery_order`.
     """
     parts = []
     for index, root in enumerate(roots):
-        base = root.rstrip("/")
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        inside = F.regexp_replace("path", "^[a-z]+:(//)?", "")
-        relative = F.substring(inside, len(base.split(":", 1)[-1]) + 2, 1 << 20)
+        base = _place(root)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        inside = F.regexp_replace("path", _SITE, "")
+        relative = F.when(inside == base, F.element_at(F.split(inside, "/"), -1)).otherwise(F.substring(inside, len(base) + 2, 1 << 20))
         columns = ["path", F.lit(index).alias("root_index"), relative.alias("relative_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at")]
         parts.append(files.where(F.col("length") <= max_bytes).select(*columns, "content"))
         parts.append(files.where(F.col("length") > max_bytes).select(*columns, F.lit(None).cast("binary").alias("content")))
     rows = union_all(parts)
     for gone in exclude:
-        at = F.regexp_replace("path", "^[a-z]+:(//)?", "")
-        rows = rows.where((at != gone.rstrip("/")) & ~at.startswith(gone.rstrip("/") + "/"))
+        at = F.regexp_replace("path", _SITE, "")
+        rows = rows.where((at != _place(gone)) & ~at.startswith(_place(gone) + "/"))
     name = F.element_at(F.split("relative_path", "/"), -1)
     rows = rows.withColumns({"name": name, "extension": F.lower(F.regexp_extract(name, r".(\.[^.]+)$", 1)), "depth": F.size(F.split("relative_path", "/")) - 1})
     return rows.where(~F.lower("name").isin(*IGNORED)).where(F.col("depth") <= max_depth).drop("path")
@@ -45,7 +65,7 @@ def manifest(files: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     digest = T.content_hash(F.col("content"))
     facts = files.withColumns({"sha256": digest, "mime": T.sniff_mime(F.coalesce(F.substring("content", 1, 32), F.lit(b"")), F.col("extension")), "category": F.when(large, "unsupported").otherwise(T.category_of(F.col("extension")))})
     warnings = F.array_compact(F.array(F.when(large, "file is too large"), F.when(T.variant_flag(F.col("relative_path")), "possible version variant")))
-    rows = facts.select(T.material_id(F.col("sha256"), F.col("root_index"), F.col("relative_path")).alias("id"), "root_index", "relative_path", "name", "extension", "category", "mime", "bytes", "sha256", "modified_at", warnings.alias("warnings"),
+    rows = facts.select(T.material_id(F.col("sha256"), F.col("root_index"), F.col("relative_path"), F.col("bytes"), F.col("modified_at")).alias("id"), "root_index", "relative_path", "name", "extension", "category", "mime", "bytes", "sha256", "modified_at", warnings.alias("warnings"),
                         F.when(F.col("category") == "image", T.image_dims(F.col("content"), F.col("mime"))).alias("dimensions"))
-    place = F.struct(F.col("root_index").alias("r"), T.natural_key(F.col("relative_path")).alias("n"), F.col("relative_path").alias("p"))
+    place = F.struct(F.col("root_index").alias("r"), discovery_order(F.col("relative_path")).alias("n"))
     return mark_duplicates(rows.withColumn("__place", place), "sha256", "__place", "id").drop("__place")
