@@ -40,7 +40,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's setting (4.1 or later; unknown to others, which ignore it) to remove a query's shuffle files when the query has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that several readers don't repeat the work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept in the shared folder, so that several readers don't repeat the work.
+
+    Its shuffle files are removed as soon as it is kept. Spark would hold them until the driver collects garbage, and a job of many
+    rounds fills the executors' disks before that.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        own = df.select("*")  # a plan takes the setting over when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    return own.checkpoint(eager=True)
