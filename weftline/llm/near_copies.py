@@ -140,13 +140,14 @@ def components(docs: DataFrame, marked: DataFrame, text: str) -> DataFrame:
     linked = confirmed(near, sets)
     linked = linked.unionByName(confirmed(apart(first, stars(linked)), sets))
     star = stars(linked)
-    second = shared.where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    linked = linked.unionByName(confirmed(apart(second, star), sets))
+    pairs = settled(shared.where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct())
+    linked = linked.unionByName(confirmed(apart(pairs.join(first, ["u", "v"], "left_anti"), star), sets))
     star = stars(linked)
-    # bands whose sets are not yet in one component
-    rest = settled(rooted(shared.select("band", F.col("sid").alias("u")), star, "u"))
-    mixed = rest.groupBy("band").agg(F.min("u_root").alias("a"), F.max("u_root").alias("b")).where("a <> b").select("band")
-    left = settled(rest.join(mixed, "band", "left_semi").select(F.col("u").alias("sid"), F.col("u_root").alias("root")).distinct())
+    # bands with a set that isn't in the component of the band's head
+    torn = apart(pairs, star).select(F.col("u").alias("sid"), F.col("v").alias("head"))
+    mixed = shared.join(torn, ["sid", "head"], "left_semi").select("band").distinct()
+    ids = shared.join(mixed, "band", "left_semi").select(F.col("sid").alias("u")).distinct()
+    left = settled(rooted(ids, star, "u").select(F.col("u").alias("sid"), F.col("u_root").alias("root")))
     return stars(linked.unionByName(confirmed(by_rare_shingles(left, sets), sets))).withColumnRenamed("u", "sid")
 
 
