@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,34 @@ def settled(df: DataFrame) -> DataFrame:
         else:
             spark.conf.set(_FREE_SHUFFLES, before)
     return own.checkpoint(eager=True)
+
+
+class Kept:
+    """Tables written once into a folder of their own under the shared one, to be read many times and dropped when they are done with.
+
+    Parquet keeps them small where a checkpoint would write whole rows; a table that is dropped frees its disk at once.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` as written."""
+        path = f"{self.folder}/{len(self.tables)}"
+        df.write.parquet(path)
+        self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.tables[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that are not read any more; lazy ones that are made from them must have been written before."""
+        for path in [p for t, p in self.tables if any(t is x for x in tables)]:
+            _delete(self.spark, path)
+
+    def drop_all(self) -> None:
+        _delete(self.spark, self.folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
