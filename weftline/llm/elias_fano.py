@@ -199,11 +199,11 @@ class Files:
     def place(self) -> tuple[pyarrow.fs.FileSystem, str]:
         return pyarrow.fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), self.folder)
 
-    def write(self, name: str, arrays: dict[str, np.ndarray]) -> str:
-        """The whole name of the new file."""
+    def write(self, name: str, arrays: dict[str, np.ndarray], exact: bool = False) -> str:
+        """The whole name of the new file; ``exact``: ``name`` is that already, and no other attempt takes it."""
         fs, folder = self.place()
         fs.create_dir(folder, recursive=True)
-        whole = f"{name}-{uuid.uuid4().hex}"
+        whole = name if exact else f"{name}-{uuid.uuid4().hex}"
         with fs.open_output_stream(f"{folder}/{whole}") as out:
             out.write(packed(arrays))
         return whole

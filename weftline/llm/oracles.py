@@ -83,4 +83,37 @@ hits as (select r, max({{'level': level, 'n': length(k.key), 'key': k.key, 'acti
 select page_id, url, fetched_at, h as host, coalesce(hit.action, 'unlisted') as verdict, hit.key as matched_key, hit.since as listed_at from captures left join hits using (r)
 """
 
-ORACLES = {"op2_url_filters": URL_FILTER, "op3_secret_scans": SECRETS, "op4_source_mixing": MIXING}
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT lang, row_number() OVER () AS piece, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) AS words
+    FROM documents
+  ) WHERE len(words) > 0
+), total AS (
+  SELECT lang, sum(len(words))::HUGEINT AS n FROM piece GROUP BY lang
+), place AS (
+  SELECT lang, piece, words, unnest(range(1, len(words) + 1)) AS i FROM piece
+), gram AS (
+  SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM (
+    SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase FROM place, (VALUES (1), (2), (3), (4), (5)) AS t (m) WHERE i + m - 1 <= len(words)
+  ) GROUP BY ALL HAVING count(*) >= 100
+), cut AS (
+  SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM gram WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f * r.f) AS score
+  FROM cut c JOIN gram l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ') AND l.m = c.k
+  JOIN gram r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 :], ' ') AND r.m = c.m - c.k JOIN total t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(w[i : i + m2 - 1], ' ') AS phrase, max(f) AS most FROM (
+    SELECT lang, m, f, string_split(phrase, ' ') AS w, unnest(range(1, m + 1)) AS i FROM gram WHERE m > 2
+  ), (VALUES (2), (3), (4)) AS t (m2) WHERE m2 < m AND i + m2 - 1 <= m GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op2_url_filters": URL_FILTER, "op3_secret_scans": SECRETS, "op4_source_mixing": MIXING, "op12_phrase_collocations": COLLOCATIONS}
