@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, collocations, lm_trie, media, mixing, packing, quality, secret_scan, simhash, toxicity, url_filter, variants
+from weftline.llm import ann, chat, collocations, lm_trie, media, mixing, packing, quality, secret_scan, simhash, toxicity, url_filter, variants
 from weftline.llm.oracles import ORACLES
 from weftline.sources.tables import table
 
@@ -52,6 +52,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
