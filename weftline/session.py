@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,24 +73,29 @@ class Kept:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-        self.tables: list[tuple[DataFrame, str]] = []
+        self.tables: list[tuple[DataFrame, str, Observation]] = []
 
     def write(self, df: DataFrame) -> DataFrame:
-        """``df`` as written."""
-        path = f"{self.folder}/{len(self.tables)}"
-        df.write.parquet(path)
-        self.tables.append((self.spark.read.schema(df.schema).parquet(path), path))
+        """``df`` as written; its rows are counted on the way."""
+        path, seen = f"{self.folder}/{len(self.tables)}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        self.tables.append((self.spark.read.schema(df.schema).parquet(path), path, seen))
         return self.tables[-1][0]
 
+    def rows(self, df: DataFrame) -> int:
+        """How many rows a table had when it was written, without reading it. Work that was done again after a loss may count twice."""
+        return next(seen for t, _, seen in self.tables if t is df).get.get("rows", 0)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that are not read any more; lazy ones that are made from them must have been written before."""
-        for path in [p for t, p in self.tables if any(t is x for x in tables)]:
-            _delete(self.spark, path)
+        for path in [p for t, p, _ in self.tables if any(t is x for x in tables)]:
+            delete(self.spark, path)
 
     def drop_all(self) -> None:
-        _delete(self.spark, self.folder)
+        delete(self.spark, self.folder)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, in whatever store its path names; nothing happens if there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
