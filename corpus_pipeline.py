@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import mixing, near_copies, packing, secret_scan, toxicity
-from weftline.session import shared_dir
+from weftline.session import delete, shared_dir
 from weftline.sources.tables import table
 
 
@@ -62,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{k}_{name}.parquet")
         docs = spark.read.parquet(f"{folder}/{k}_{name}.parquet")
+        if k:  # what this stage read
+            delete(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}.parquet")
     return docs
