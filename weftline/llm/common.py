@@ -67,11 +67,11 @@ def sampled_labels(labels: DataFrame, target: str, folds: int = 5, per_class: in
     return one.where(uniform(F.lit("sample"), F.col("__key")) < rate), rates.get(0, 1.0) / rates.get(1, 1.0)
 
 
-def with_least(rows: DataFrame, group: str, value: str, name: str, most: int = 1000) -> DataFrame:
+def with_least(rows: DataFrame, group: str, value: str, name: str, most: int = 1000, keep: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """``rows`` (cheap to read, see ``settled``) with the least ``value`` of their group as ``name``; a group of more than ``most``
-    rows meets its name in many tasks."""
-    least = settled(rows.groupBy(group).agg(F.min(value).alias(name), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts")))
-    large = broadcast_if_small(settled(least.where("__parts > 1").select(group, "__parts")), 200_000)
+    rows meets its name in many tasks. ``keep`` writes what is read several times."""
+    least = keep(rows.groupBy(group).agg(F.min(value).alias(name), F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__parts")))
+    large = broadcast_if_small(keep(least.where("__parts > 1").select(group, "__parts")), 200_000)
     salted = rows.join(large, group, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     every = least.select(group, name, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__salt"))
     return salted.join(every, [group, "__salt"]).drop("__salt")
@@ -82,17 +82,17 @@ def text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("th")
 
 
-def representatives(docs: DataFrame, found: DataFrame, key: str, text: str, most_broadcast: int) -> DataFrame:
+def representatives(docs: DataFrame, found: DataFrame, key: str, text: str, most_broadcast: int, keep: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """The rows of ``docs`` with the smallest key of their component, and those without a key.
 
     found: ``(key, th, root, component)`` of each row, cheap to read: the key, the ``text_hash``, the component and its smallest key.
     Rows are told by key and text, so an id that is used for texts of several components loses none of them unless that component
-    has another representative. Of rows of one component that share a key, one stays.
+    has another representative. Of rows of one component that share a key, one stays. ``keep`` writes what the result still reads.
     """
     named = found.where("key = component")
     several = named.groupBy("key", "root").agg(F.min("th").alias("least"), F.max("th").alias("most")).where("least <> most")
     extra = found.where("key <> component").select("key", "th").unionByName(named.join(several, ["key", "root"]).where("th <> least").select("key", "th"))
-    extra = settled(extra.select(F.col("key").alias("__key"), F.col("th").alias("__extra")).distinct())
+    extra = keep(extra.select(F.col("key").alias("__key"), F.col("th").alias("__extra")).distinct())
     marked = docs.withColumn("__th", text_hash(text))
     kept = marked.join(broadcast_if_small(extra, most_broadcast), (F.col(f"`{key}`") == F.col("__key")) & (F.col("__th") == F.col("__extra")), "left_anti")
     if named.groupBy("key", "th").count().where("count > 1").limit(1).count():

@@ -7,27 +7,32 @@ no band with a probability of 1.2e-7, and less above. Every candidate's similari
 link is a guess.
 
 Work is on different sets. Links are looked for in rounds, so that a crowd of near copies costs what it has members, not pairs:
-the fingerprints' links, then each set against the smallest set that it shares a band with, then against the smallest of each of
-its bands. Bands that still hold several components are settled by the rare shingles that similar sets must share.
+the fingerprints' links together with each set against the smallest set that it shares a band with, then what is still apart
+against the smallest of each of its bands. Bands that still hold several components are settled by the rare shingles that similar
+sets must share. After each round what was linked is contracted to components, and only edges between components go on.
+
+Every table that is read twice is written once, as Parquet, and deleted when the round is over.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import broadcast_if_small, claim, representatives, text_hash, with_least
-from weftline.llm.simhash import GROUP_ROWS, LEAST_GROUPS, fingerprint, links, shingle_hashes, stars
-from weftline.session import settled
+from weftline.llm.common import claim, representatives, text_hash, with_least
+from weftline.llm.simhash import GROUP_ROWS, LEAST_GROUPS, fingerprint, links, shingle_hashes, union
+from weftline.session import Kept
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, BAND = 40, 5
 #: Shingles that are min-hashed at once, and edges of one set that meet in one task.
 BLOCK, EDGES = 512, 200
+#: Rows of a table that is broadcast, and edges whose components one task may find.
+FEW, FEW_EDGES = 200_000, 100_000
 
 _RNG = np.random.default_rng(SEED)
 _TURNS = _RNG.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,27 +77,45 @@ def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(f"`{key}`", text_hash(text), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"key {kind}, th bigint, fp bigint, sid bigint, bands array<bigint>")
 
 
-def members(marked: DataFrame) -> DataFrame:
-    """``(band, sid, head)`` of each set in a band that others share; the head is the smallest of them."""
-    distinct = marked.select("sid", "bands").dropDuplicates(["sid"])
-    groups = max(LEAST_GROUPS, -(-BANDS * marked.count() // GROUP_ROWS))
-    rows = distinct.select("sid", F.explode("bands").alias("band")).withColumn("part", F.pmod(F.xxhash64("band"), F.lit(groups)))
+def by_band(rows: DataFrame, found: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], sets: int, schema: str) -> DataFrame:
+    """``found`` of each part of the rows ``(bands, sid, root)``, spread over their bands; it gets band, sid and root, sorted by band and
+    sid, every band whole."""
+    groups = max(LEAST_GROUPS, -(-BANDS * sets // GROUP_ROWS))
+    spread = rows.select("sid", "root", F.explode("bands").alias("band")).withColumn("part", F.pmod(F.xxhash64("band"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
-        band, sid = table.column("band").to_numpy(), table.column("sid").to_numpy()
+        band, sid, root = (table.column(c).to_numpy() for c in ("band", "sid", "root"))
         order = np.lexsort((sid, band))
-        band, sid = band[order], sid[order]
-        heads = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        size = np.diff(np.r_[heads, len(band)])
-        keep = np.repeat(size > 1, size)
-        return pa.table({"band": band[keep], "sid": sid[keep], "head": np.repeat(sid[heads], size)[keep]})
+        return pa.table(found(band[order], sid[order], root[order]))
+
+    return spread.groupBy("part").applyInArrow(run, schema)
+
+
+def starts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the sorted keys begins, and how many rows it has."""
+    heads = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    return heads, np.diff(np.r_[heads, len(keys)])
+
+
+def heads_in_bands(band: np.ndarray, sid: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+    """Different pairs of a set and the smallest set that it shares a band with, where that is another."""
+    heads, size = starts_of(band)
+    pairs = np.unique(np.stack([sid, np.repeat(sid[heads], size)], axis=1), axis=0) if len(sid) else np.empty((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return {"u": pairs[:, 0], "v": pairs[:, 1]}
 
-    return rows.groupBy("part").applyInArrow(run, "band bigint, sid bigint, head bigint")
 
+def mixed_in_bands(band: np.ndarray, sid: np.ndarray, root: np.ndarray) -> dict[str, np.ndarray]:
+    """Sets in bands that hold several components."""
+    heads, size = starts_of(band)
+    several = np.zeros(0, bool) if not len(heads) else np.minimum.reduceat(root, heads) != np.maximum.reduceat(root, heads)
+    own = np.unique(np.stack([sid, root], axis=1)[np.repeat(several, size)], axis=0)
+    return {"sid": own[:, 0], "root": own[:, 1]}
 
-def sets_of(docs: DataFrame, marked: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+
+def sets_of(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, text: str, kept: Kept) -> DataFrame:
     """``(sid, shingles)`` of the wanted sets, from one text of each."""
-    one = marked.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("th").alias("th")).select("th")
+    one = small(kept.write(distinct.join(small(wanted, kept), "sid", "left_semi").select("th")), kept)
     body = docs.select(text_hash(text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).join(one, "th", "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,73 +126,141 @@ def sets_of(docs: DataFrame, marked: DataFrame, wanted: DataFrame, text: str) ->
     return body.mapInArrow(run, "sid bigint, shingles array<bigint>").dropDuplicates(["sid"])
 
 
-def with_sets(edges: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+def small(df: DataFrame, kept: Kept) -> DataFrame:
+    """A written table, with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if kept.rows(df) <= FEW else df
+
+
+def with_sets(edges: DataFrame, side: str, sets: DataFrame, kept: Kept) -> DataFrame:
     """``edges`` with the shingles of ``side``; a set of many edges is handed to many tasks."""
-    many = edges.groupBy(F.col(side).alias("sid")).agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("n")).where("n > 1")
-    ends = broadcast_if_small(settled(edges.select(F.col(side).alias("sid")).distinct()), 200_000)
-    copies = sets.join(ends, "sid", "left_semi").join(F.broadcast(many), "sid", "left").select(F.col("sid").alias(side), F.col("shingles").alias(f"{side}_set"), F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("copy"))
-    dealt = edges.join(F.broadcast(many.withColumnRenamed("sid", side)), side, "left").withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.coalesce("n", F.lit(1))).cast("int")).drop("n")
+    ends = small(kept.write(edges.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("copies"))), kept)
+    copies = sets.withColumnRenamed("sid", side).join(ends, side).select(side, F.col("shingles").alias(f"{side}_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = edges.join(ends, side).withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.col("copies")).cast("int")).drop("copies")
     return dealt.join(copies, [side, "copy"]).drop("copy")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The edges ``(u, v)`` whose sets are similar enough."""
-    edges = settled(edges)
-    both = with_sets(with_sets(edges, "u", sets), "v", sets).withColumn("both", F.size(F.array_intersect("u_set", "v_set")))
-    return settled(both.where(F.col("both") / (F.size("u_set") + F.size("v_set") - F.col("both")) >= least).select("u", "v"))
+def confirmed(edges: DataFrame, sets: DataFrame, kept: Kept, least: float = SIMILARITY) -> DataFrame:
+    """The edges ``(u, v)`` (each once, written) whose sets are similar enough."""
+    if not kept.rows(edges):
+        return edges
+    both = with_sets(with_sets(edges, "u", sets, kept), "v", sets, kept).withColumn("both", F.size(F.array_intersect("u_set", "v_set")))
+    return kept.write(both.where(F.col("both") / (F.size("u_set") + F.size("v_set") - F.col("both")) >= least).select("u", "v"))
 
 
-def alike(marked: DataFrame) -> DataFrame:
+def alike(marked: DataFrame, kept: Kept) -> DataFrame:
     """Candidates ``(u, v)`` among sets: those of one fingerprint, and a spanning forest of the fingerprints' links."""
-    sets = settled(marked.select("fp", "sid").distinct())
-    heads = settled(sets.groupBy("fp").agg(F.min("sid").alias("head")))
+    sets = kept.write(marked.select("fp", "sid").distinct())
+    heads = kept.write(sets.groupBy("fp").agg(F.min("sid").alias("head")))
     same = sets.join(heads, "fp").where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v"))
     head = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
     near = links(heads.select("fp")).join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
-    return settled(same.unionByName(near).where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
-
-
-def components(docs: DataFrame, marked: DataFrame, text: str) -> DataFrame:
-    """``(sid, root)`` of each set that has a near copy and isn't the smallest of its component."""
-    shared = settled(members(marked))
-    near = alike(marked)
-    sets = settled(sets_of(docs, marked, shared.select("sid").unionByName(near.select(F.col("u").alias("sid"))).unionByName(near.select(F.col("v").alias("sid"))).distinct(), text))
-    rooted = lambda df, star, side: df.join(star.select(F.col("u").alias(side), F.col("root").alias("r")), side, "left").withColumn(f"{side}_root", F.coalesce("r", side)).drop("r")
-    apart = lambda df, star: rooted(rooted(df, star, "u"), star, "v").where("u_root <> v_root").select("u", "v")
-    first = shared.groupBy(F.col("sid").alias("u")).agg(F.min("head").alias("v")).where("u <> v")
-    linked = confirmed(near, sets)
-    linked = linked.unionByName(confirmed(apart(first, stars(linked)), sets))
-    star = stars(linked)
-    second = shared.where("sid <> head").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    linked = linked.unionByName(confirmed(apart(second, star), sets))
-    star = stars(linked)
+    return same.unionByName(near)
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Different edges ``(u, v)`` with u > v."""
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def renamed(df: DataFrame, side: str, star: DataFrame | None, kept: Kept) -> DataFrame:
+    """``df`` with ``side`` replaced by its root where the written ``star`` ``(u, root)`` has one."""
+    if star is None:
+        return df
+    at = star.select(F.col("u").alias(side), F.col("root").alias("__root"))
+    return df.join(F.broadcast(at) if kept.rows(star) <= FEW else at, side, "left").withColumn(side, F.coalesce("__root", side)).drop("__root")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of the task."""
+    edges = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches]
+    if edges:
+        nodes, place = np.unique(np.concatenate(edges), return_inverse=True)
+        root = union(np.arange(len(nodes)), *place.reshape(-1, 2).T)
+        below = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root[below]])], names=["u", "root"])
+
+
+def stars(edges: DataFrame, kept: Kept, few: int = FEW_EDGES) -> DataFrame:
+    """``(u, root)``: each node of ``edges`` that isn't the smallest of its component, with the smallest.
+
+    Every node hangs below its smallest neighbour, the trees are flattened by doubling, and the edges are contracted to their roots;
+    so until none is left. At most ``few`` edges are settled by one task, which is then bounded.
+    """
+    left, star = kept.write(ordered(edges)), None
+    while n := kept.rows(left):
+        if n <= few:
+            up = kept.write(left.coalesce(1).mapInArrow(_forest, "u bigint, root bigint"))
+        else:
+            up = kept.write(left.groupBy("u").agg(F.min("v").alias("root")))
+            while True:
+                at = up.select(F.col("u").alias("root"), F.col("root").alias("further"))
+                on = kept.write(up.join(at, "root", "left").select("u", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+                kept.drop(up)
+                up = kept.write(on.drop("moved"))
+                if not on.where("moved").limit(1).count():
+                    break
+        star = up if star is None else kept.write(renamed(star, "root", up, kept).unionByName(up))
+        if n <= few:
+            break
+        left = kept.write(ordered(renamed(renamed(left, "u", up, kept), "v", up, kept)))
+    return kept.write(left.select("u", F.col("v").alias("root"))) if star is None else star
+
+
+def components(docs: DataFrame, marked: DataFrame, text: str, kept: Kept) -> DataFrame:
+    """``(u, root)`` of each set that has a near copy and isn't the smallest of its component."""
+    n = kept.rows(marked)
+    distinct = kept.write(marked.groupBy("sid").agg(F.min("th").alias("th"), F.first("bands").alias("bands")))
+    alone = distinct.select("bands", "sid", F.col("sid").alias("root"))
+    heads = kept.write(by_band(alone, heads_in_bands, n, "u bigint, v bigint").distinct())
+    near = kept.write(ordered(alike(marked, kept).unionByName(heads.groupBy("u").agg(F.min("v").alias("v")))))
+    wanted = F.explode(F.array("u", "v")).alias("sid")
+    sets = kept.write(sets_of(docs, distinct, kept.write(heads.unionByName(near).select(wanted).distinct()), text, kept))
+
+    star = merged(None, confirmed(near, sets, kept), kept)
+    second = kept.write(apart(heads.join(near, ["u", "v"], "left_anti"), star, kept))
+    star = merged(star, confirmed(second, sets, kept), kept)
     # bands whose sets are not yet in one component
-    rest = settled(rooted(shared.select("band", F.col("sid").alias("u")), star, "u"))
-    mixed = rest.groupBy("band").agg(F.min("u_root").alias("a"), F.max("u_root").alias("b")).where("a <> b").select("band")
-    left = settled(rest.join(mixed, "band", "left_semi").select(F.col("u").alias("sid"), F.col("u_root").alias("root")).distinct())
-    return stars(linked.unionByName(confirmed(by_rare_shingles(left, sets), sets))).withColumnRenamed("u", "sid")
+    kin = renamed(distinct.join(sets.select("sid"), "sid").select("bands", "sid", F.col("sid").alias("root")), "root", star, kept)
+    left = kept.write(by_band(kin, mixed_in_bands, n, "sid bigint, root bigint").distinct())
+    return merged(star, confirmed(by_rare_shingles(left, sets, kept), sets, kept), kept)
+
+
+def apart(edges: DataFrame, star: DataFrame | None, kept: Kept) -> DataFrame:
+    """The edges ``(u, v)`` whose ends are in different components."""
+    both = edges.select("u", "v", F.col("u").alias("u_root"), F.col("v").alias("v_root"))
+    return renamed(renamed(both, "u_root", star, kept), "v_root", star, kept).where("u_root <> v_root").select("u", "v")
+
+
+def merged(star: DataFrame | None, edges: DataFrame, kept: Kept) -> DataFrame | None:
+    """The components ``star`` (None: no two are joined yet) and those that the written ``edges`` between sets join."""
+    if not kept.rows(edges):
+        return star
+    up = stars(renamed(renamed(edges, "u", star, kept), "v", star, kept), kept)
+    return up if star is None else kept.write(renamed(star, "root", up, kept).unionByName(up))
 
 
-def by_rare_shingles(left: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def by_rare_shingles(left: DataFrame, sets: DataFrame, kept: Kept, least: float = SIMILARITY) -> DataFrame:
     """Candidates ``(u, v)`` among sets ``(sid, root)`` of different components, every pair that is similar enough included.
 
     With all shingles in one order, rare ones first, two sets of that similarity share one of the first |x| - ceil(least |x|) + 1
     of each, early enough for the rest to suffice. Texts that have a common body and a ninth of their own are no candidates.
     """
-    own = sets.join(left, "sid").select("sid", "root", F.size("shingles").alias("n"), "shingles")
-    every = settled(own.select("sid", F.explode("shingles").alias("shingle")))
+    if not kept.rows(left):
+        return kept.write(left.select(F.col("sid").alias("u"), F.col("root").alias("v")))
+    own = sets.join(small(left, kept), "sid").select("sid", "root", F.size("shingles").alias("n"), "shingles")
+    every = own.select("sid", "root", "n", F.explode("shingles").alias("shingle"))
     common = every.groupBy("shingle").count().where("count > 1")
     # a shingle of one set comes first and pairs nothing: how many a set has is enough
-    order = every.join(common, "shingle").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("shared"))
+    order = every.join(common, "shingle").groupBy("sid", "root", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("shared"))
     begin = F.greatest(F.lit(0), F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    first = settled(order.join(own.drop("shingles"), "sid").select("sid", "root", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), begin)).alias("at", "x")).select("sid", "root", "n", (F.col("m") - F.col("at")).alias("rest"), "x.shingle"))
+    first = kept.write(order.select("sid", "root", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), begin)).alias("at", "x")).select("sid", "root", "n", (F.col("m") - F.col("at")).alias("rest"), "x.shingle"))
     mixed = first.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
-    first = settled(first.join(mixed, "shingle", "left_semi"))
+    first = kept.write(first.join(mixed, "shingle", "left_semi"))
     other = first.select("shingle", F.col("sid").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("v_n"), F.col("rest").alias("v_rest"))
     # from the first shared shingle on, the rest of both must hold as many as two sets of these sizes have to share
     enough = F.least("rest", "v_rest") >= least / (1 + least) * (F.col("n") + F.col("v_n")) - 1e-6
     near = first.join(other, "shingle").where((F.col("sid") < F.col("v")) & (F.col("root") != F.col("v_root")) & enough)
-    return near.select(F.col("sid").alias("u"), "v").distinct()
+    return kept.write(near.select(F.col("sid").alias("u"), "v").distinct())
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
@@ -177,7 +268,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_
 
     Texts without words are copies of each other. A row without a key can't be told from others, so it stays.
     """
-    marked = settled(marks(docs, key, text))
-    star = components(docs, marked, text)
-    found = settled(marked.select("key", "th", "sid").join(star, "sid", "left").select("key", "th", F.coalesce("root", "sid").alias("root")))
-    return representatives(docs, settled(with_least(found, "root", "key", "component")), key, text, most_broadcast)
+    kept = Kept(docs.sparkSession)
+    marked = kept.write(marks(docs, key, text))
+    star = components(docs, marked, text, kept)
+    found = kept.write(renamed(marked.select("key", "th", F.col("sid").alias("root")), "root", star, kept))
+    named = kept.write(with_least(found, "root", "key", "component", keep=kept.write))
+    out = representatives(docs, named, key, text, most_broadcast, keep=Kept(docs.sparkSession).write)
+    kept.drop_all()
+    return out
