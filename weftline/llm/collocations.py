@@ -12,25 +12,33 @@ every phrase are known.
 Levels are jobs: shards extend what is frequent over all shards, counts are summed by (prefix, suffix) in hash parts, and every
 shard gets back those of its phrases that are frequent, with their intervals. A phrase is thus dropped only when its count over
 all texts is known; a shard emits an entry for each of its phrases, however often it occurs there, so a frequent phrase is no hot
-key. Words and phrases are told apart exactly: words as text, phrases by the ids of their prefix and suffix.
+key.
+
+Most pairs of words are rare, so pairs are first summed by cells of their hashes, a few bytes each: a shard learns, by a bit for
+each of its pairs, whose cell occurs often enough, and emits those alone. That leaves out no frequent pair, and what a cell holds
+besides is told apart by the exact sums that follow. Words are summed as text; that no two have one hash is checked.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.llm.elias_fano import Files
-from weftline.llm.lm_trie import dealt, heads_of, mixed, spread, unblock
+from weftline.llm.lm_trie import block, dealt, heads_of, mixed, spread, unblock
 from weftline.session import Kept, shared_dir
 
-#: Words of a shard's sequence, bytes of a text that are split at once, and entries that a part of the sums is meant to hold.
-SHARD_WORDS, SLICE, PART_ENTRIES, LEAST_PARTS = 2_000_000, 1 << 20, 1_000_000, 24
+#: Words of a shard's sequence, bytes of a text that are split at once, characters whose pairs a part of the sums is meant to hold.
+SHARD_WORDS, SLICE, PART_CHARS, LEAST_PARTS = 2_000_000, 1 << 20, 6_000_000, 24
+#: Bits of a pair's cell.
+CELL_BITS = 42
+#: Fixed value: the seed that Spark's xxhash64 begins with; a word's id is the hash of a salt, its language and its text.
+SEED = 42
 #: All of these bytes end a piece; ``.`` stands for them, as no word can hold it.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS, b"." * len(_ENDS))
@@ -136,8 +144,8 @@ def steps_back(transform: np.ndarray) -> np.ndarray:
 
 
 def extended(transform: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All one-word extensions of intervals, for each: the interval it extends, its count, how many of that interval have a smaller
-    word, and its first place."""
+    """All one-word extensions of intervals, for each: the interval it extends, the word, its count, how many of that interval have a
+    smaller word, and its first place."""
     place = spread(start, start + n)
     symbol, owner = transform[place], np.repeat(np.arange(len(start)), n)
     bits = bits_of(symbol.max()) if len(symbol) else 1
@@ -147,7 +155,7 @@ def extended(transform: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[n
     whose, word = (key[heads] >> np.uint64(bits)).astype(np.int64), key[heads] & np.uint64((1 << bits) - 1)
     smaller = heads - (np.cumsum(n) - n)[whose]
     real = word != 0
-    return whose[real], count[real], smaller[real], place[order[heads]][real]
+    return whose[real], word[real].astype(np.int64), count[real], smaller[real], place[order[heads]][real]
 
 
 def longer(index: dict[str, np.ndarray], gram: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -156,91 +164,172 @@ def longer(index: dict[str, np.ndarray], gram: np.ndarray, left: np.ndarray, rig
     gram: ids; left, right: starts of their intervals in the orders of ``before`` and of ``after``. Returns prefix, suffix, count
     and both starts.
     """
-    whose, count, smaller, place = extended(index["after"], right, n)
+    whose, _, count, smaller, place = extended(index["after"], right, n)
     prefix, start, behind = gram[whose], left[whose] + smaller, steps_back(index["after"])[place]
-    other, _, _, place = extended(index["before"], left, n)
+    other, _, _, _, place = extended(index["before"], left, n)
     suffix, same = gram[other], steps_back(index["before"])[place]
     _, a, b = np.intersect1d(start, same, assume_unique=True, return_indices=True)
     return prefix[a], suffix[b], count[a], start[a], behind[a]
 
 
-def build_shards(docs: DataFrame, text: str, lang: str, depth: int, folder: str, none: str) -> DataFrame:
-    """``(shard, lang, word, n, start)``: the words of each shard, how often they occur there, and where their intervals begin. The
-    index of a shard is the file of that name."""
+def pairs_of(index: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """All pairs of words of a shard in the order of their cells: cell, first and second word, count, and both starts' parts (how many
+    have the first word and a smaller second one, and the first place in the other order)."""
+    first = index["first"]
+    one, two, count, smaller, place = extended(index["after"], first[1:-1], np.diff(first[1:]))
+    h = index["hash"]
+    cell = mixed(h[one] * np.uint64(3) + mixed(h[two - 1])) >> np.uint64(64 - CELL_BITS)
+    order = np.argsort(cell, kind="stable")
+    return tuple(x[order] for x in (cell, one, two - 1, count, smaller, place))
+
+
+def part_of(cell: np.ndarray, parts: int) -> np.ndarray:
+    return (cell * np.uint64(parts) >> np.uint64(CELL_BITS)).astype(np.int64)
+
+
+def word_hashes(names: list[tuple[str, bytes]], salt: str) -> np.ndarray:
+    """Spark's xxhash64 of salt, language and word."""
+    begin = xxhash.xxh64_intdigest(salt.encode(), SEED)
+    seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), begin) for lang in {lang for lang, _ in names}}
+    return np.fromiter((xxhash.xxh64_intdigest(word, seeds[lang]) for lang, word in names), np.uint64, len(names))
+
+
+BUILT = "lang string, word string, n bigint, part int, shard bigint, block binary"
+
+
+def build_shards(docs: DataFrame, text: str, lang: str, depth: int, folder: str, none: str, parts: int, salt: str) -> DataFrame:
+    """Rows of two kinds: ``(lang, word, n)``, the words of each shard and how often they occur there; and ``(part, shard, block)``, the
+    cells of its pairs and their counts. The index of a shard is the file of that name."""
     files = Files(folder)
 
-    def flush(seq: Sequence) -> tuple[pa.RecordBatch | None, Sequence]:
+    def batch(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        kinds = {"lang": pa.string(), "word": pa.string(), "n": pa.int64(), "part": pa.int32(), "shard": pa.int64(), "block": pa.binary()}
+        return pa.RecordBatch.from_arrays([columns[c].cast(kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
+
+    def flushed(seq: Sequence, out: list[pa.RecordBatch]) -> Sequence:
         tokens, names, rest = seq.cut()
         fresh = Sequence()
         for where, word in rest:
             fresh.add(where, [word])
-        if not len(tokens):
-            return None, fresh
-        index = index_of(tokens, len(names), depth)
-        shard = uuid.uuid4().int >> 65
-        files.write(f"{shard:x}", index, exact=True)
-        first = index["first"]
-        used = np.flatnonzero(np.diff(first[1:]))  # words behind the last separator aren't there
-        langs, words = zip(*(names[i] for i in used.tolist()), strict=True) if len(used) else ((), ())
-        columns = [pa.array(np.full(len(used), shard)), pa.array(langs, pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.diff(first[1:])[used]), pa.array(first[1:-1][used])]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "word", "n", "start"]), fresh
+        if len(tokens):
+            index = index_of(tokens, len(names), depth) | {"hash": word_hashes(names, salt)}
+            shard = uuid.uuid4().int >> 65
+            files.write(f"{shard:x}", index, exact=True)
+            n = np.diff(index["first"][1:])
+            used = np.flatnonzero(n)  # words behind the last separator aren't there
+            out.append(batch(lang=pa.array([names[i][0] for i in used.tolist()], pa.string()), word=pa.array([names[i][1] for i in used.tolist()], pa.binary()), n=pa.array(n[used])))
+            cell, _, _, count, _, _ = pairs_of(index)
+            sent = dealt(part_of(cell, parts), cell, count.astype(np.uint32))
+            out.append(batch(part=sent.column(0), shard=pa.array(np.full(sent.num_rows, shard)), block=sent.column(1)))
+        return fresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = Sequence()
+        seq, out = Sequence(), []
         for b in batches:
             for where, body in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 for part in slices(body.as_py() or b""):
                     seq.add(where, tokens_of(part))
                     if seq.size >= SHARD_WORDS:
-                        out, seq = flush(seq)
-                        if out is not None:
-                            yield out
+                        seq = flushed(seq, out)
+                        yield from out
+                        out.clear()
                 seq.end_text()
-        out, _ = flush(seq)
-        if out is not None:
-            yield out
+        flushed(seq, out)
+        yield from out
 
-    return docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(none)), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).mapInArrow(run, "shard bigint, lang string, word string, n bigint, start bigint")
+    return docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(none)), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).mapInArrow(run, BUILT)
 
 
-def next_level(grams: DataFrame, folder: str, parts: int, least: int) -> DataFrame:
-    """From ``(shard, gram, left, right, n)``, the frequent phrases of each shard: those one word longer.
+def often(built: DataFrame, least: int) -> DataFrame:
+    """``(shard, part, bits)``: for each pair of a shard's block, whether its cell occurs at least ``least`` times over all shards."""
 
-    Rows with a null shard are the frequent phrases ``(gram, prefix, suffix, f)``; the others tell each shard where its own are.
-    """
+    def total(table: pa.Table) -> pa.Table:
+        cells, counts = zip(*[unblock(b) for b in table.column("block").to_pylist()], strict=True)
+        sizes, cell = [len(c) for c in cells], np.concatenate(cells)
+        order = np.argsort(cell, kind="stable")
+        heads = heads_of(cell[order])
+        f = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), heads)
+        flag = np.empty(len(cell), bool)
+        flag[order] = np.repeat(f >= least, np.diff(np.r_[heads, len(cell)]))
+        bits = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(sizes)[:-1])]
+        return pa.table({"shard": table.column("shard"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
+
+    return built.select("part", "shard", "block").groupBy("part").applyInArrow(total, "shard bigint, part int, bits binary")
+
+
+def first_level(flags: DataFrame, folder: str, parts: int) -> DataFrame:
+    """``(part, shard, block)``: the pairs of each shard whose cells occur often, for ``summed_level``."""
     files = Files(folder)
 
     def extend(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        gram, left, right, n = (table.column(c).to_numpy() for c in ("gram", "left", "right", "n"))
+        index = files.map(f"{shard:x}")
+        cell, one, two, count, smaller, place = pairs_of(index)
+        own = part_of(cell, parts)
+        keep = np.zeros(len(cell), bool)
+        for part, bits in zip(table.column("part").to_pylist(), table.column("bits").to_pylist(), strict=True):
+            a, b = np.searchsorted(own, [part, part + 1])
+            keep[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(b - a))
+        one, two, count, smaller, place = (x[keep] for x in (one, two, count, smaller, place))
+        h = index["hash"].view(np.int64)
+        return entries(shard, parts, h[one], h[two], count, index["first"][1:][one] + smaller, steps_back(index["after"])[place])
+
+    return flags.groupBy("shard").applyInArrow(extend, "part int, shard bigint, block binary")
+
+
+def entries(shard: int, parts: int, prefix: np.ndarray, suffix: np.ndarray, *numbers: np.ndarray) -> pa.Table:
+    """A shard's phrases as a block for each part: prefix, suffix, count and both starts."""
+    part = (mixed(prefix.view(np.uint64) * np.uint64(3) + mixed(suffix.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((suffix, prefix))
+    out = dealt(part[order], prefix[order], suffix[order], *(x[order].astype(np.int32) for x in numbers))
+    return pa.table({"part": out.column(0), "shard": pa.array(np.full(out.num_rows, shard)), "block": out.column(1)})
+
+
+def next_level(replies: DataFrame, folder: str, parts: int) -> DataFrame:
+    """From the frequent phrases of each shard ``(shard, block)``, those one word longer, as ``first_level`` gives them."""
+    files = Files(folder)
+
+    def extend(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        gram, left, right, n = (np.concatenate(c).astype(np.int64) for c in zip(*map(unblock, table.column("block").to_pylist()), strict=True))
         prefix, suffix, count, left, right = longer(files.map(f"{shard:x}"), gram, left, right, n)
-        part = (mixed(prefix.astype(np.uint64) * np.uint64(3) + mixed(suffix.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((suffix, prefix))
-        out = dealt(part[order], prefix[order], suffix[order], *(x[order].astype(np.int32) for x in (count, left, right)))
-        return pa.table({"part": out.column(0), "shard": pa.array(np.full(out.num_rows, shard)), "block": out.column(1)})
+        return entries(shard, parts, prefix, suffix, count, left, right)
+
+    return replies.groupBy("shard").applyInArrow(extend, "part int, shard bigint, block binary")
+
+
+def summed_level(found: DataFrame, least: int) -> DataFrame:
+    """Exact sums over all shards of the phrases of one level.
+
+    Rows with a null shard are the frequent phrases ``(gram, prefix, suffix, f)``; the others ``(shard, block)`` tell each shard which
+    of its own are frequent, and their intervals.
+    """
 
     def total(table: pa.Table) -> pa.Table:
         part, shards = table.column("part")[0].as_py(), table.column("shard").to_numpy()
         blocks = [unblock(b) for b in table.column("block").to_pylist()]
         prefix, suffix, n, left, right = (np.concatenate(c) for c in zip(*blocks, strict=True))
         shard = np.repeat(shards, [len(b[0]) for b in blocks])
-        order = np.lexsort((shard, suffix, prefix))
+        order = np.lexsort((suffix, prefix))
         prefix, suffix, n, left, right, shard = (x[order] for x in (prefix, suffix, n, left, right, shard))
         heads = heads_of(prefix, suffix)
+        size = np.diff(np.r_[heads, len(n)])
         f = np.add.reduceat(n.astype(np.int64), heads)
         frequent = f >= least
-        gram = (np.int64(part) << np.int64(40)) + np.cumsum(frequent) - 1
-        mine = np.flatnonzero(np.repeat(frequent, np.diff(np.r_[heads, len(n)])))
-        own = np.repeat(gram, np.diff(np.r_[heads, len(n)]))[mine]
-        heads, gram, f = heads[frequent], gram[frequent], f[frequent]
-        both = lambda a, b, kind=pa.int64(): pa.concat_arrays([pa.nulls(len(heads), kind) if a is None else pa.array(a, kind), pa.nulls(len(mine), kind) if b is None else pa.array(b, kind)])
-        return pa.table({"shard": both(None, shard[mine]), "gram": both(gram, own), "prefix": both(prefix[heads], None), "suffix": both(suffix[heads], None), "f": both(f, None), "left": both(None, left[mine]), "right": both(None, right[mine]), "n": both(None, n[mine])})
+        gram = (np.int64(part) << np.int64(32)) + np.cumsum(frequent) - 1
+        mine = np.flatnonzero(np.repeat(frequent, size))
+        own, heads, gram, f = np.repeat(gram, size)[mine], heads[frequent], gram[frequent], f[frequent]
+        by = mine[order := np.argsort(shard[mine], kind="stable")]
+        own, cuts = own[order], heads_of(shard[by])
+        replies = [block(own[i:j], left[by[i:j]], right[by[i:j]], n[by[i:j]]) for i, j in zip(cuts, np.r_[cuts, len(by)][1:], strict=True)]
+        both = lambda a, b, kind=pa.int64(): pa.concat_arrays([pa.nulls(len(heads), kind) if a is None else pa.array(a, kind), pa.nulls(len(cuts), kind) if b is None else pa.array(b, kind)])
+        return pa.table({"shard": both(None, shard[by[cuts]]), "gram": both(gram, None), "prefix": both(prefix[heads], None), "suffix": both(suffix[heads], None), "f": both(f, None), "block": both(None, replies, pa.binary())})
 
-    blocks = grams.groupBy("shard").applyInArrow(extend, "part int, shard bigint, block binary")
-    return blocks.groupBy("part").applyInArrow(total, "shard bigint, gram bigint, prefix bigint, suffix bigint, f bigint, left bigint, right bigint, n bigint")
+    return found.groupBy("part").applyInArrow(total, "shard bigint, gram bigint, prefix bigint, suffix bigint, f bigint, block binary")
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, depth: int = 5, none: str = "und") -> tuple[DataFrame, list[DataFrame]]:
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, depth: int = 5, none: str = "und", salt: str = "") -> tuple[DataFrame, list[DataFrame]]:
     """Occurrences of all words of each language ``(lang, n)``, and for each number of words from 1 to ``depth`` the phrases that
     occur at least ``least`` times: ``(gram, lang, phrase, last, f, prefix, suffix, firsts, lasts)``.
 
@@ -250,25 +339,32 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/fm-{uuid.uuid4().hex}"
     kept = Kept(spark)
-    words = kept.write(build_shards(docs, text, lang, depth, folder, none))
-    totals = kept.write(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    chars = docs.agg(F.sum(F.length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-chars // PART_CHARS))
+    built = kept.write(build_shards(docs, text, lang, depth, folder, none, parts, salt))
+    words = kept.write(built.where("part is null").groupBy("lang", "word").agg(F.sum("n").alias("f")))
+    totals = kept.write(words.groupBy("lang").agg(F.sum("f").alias("n")))
+    named = words.withColumn("gram", F.xxhash64(F.lit(salt), "lang", "word"))
+    if named.groupBy("gram").count().where("count > 1").limit(1).count():  # two words with one id: again, with other ids
+        kept.drop_all()
+        Files(folder).remove()
+        return phrase_counts(docs, text, lang, least, depth, none, f"{salt}+")
     empty = F.array().cast("array<bigint>")
-    level = kept.write(frequent.select(F.monotonically_increasing_id().alias("gram"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("bigint").alias("prefix"), F.lit(None).cast("bigint").alias("suffix"), empty.alias("firsts"), empty.alias("lasts")))
-    known = words.join(level.select("lang", F.col("phrase").alias("word"), "gram"), ["lang", "word"]).select("shard", "gram", F.col("start").alias("left"), F.col("start").alias("right"), "n")
-    parts = max(LEAST_PARTS, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / PART_ENTRIES))
-    levels, before = [level], words
-    for _ in range(1, depth):
-        found = kept.write(next_level(known, folder, parts, least))
-        kept.drop(before)
-        grams = found.where("shard is null")
+    level = kept.write(named.where(F.col("f") >= least).select("gram", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.lit(None).cast("bigint").alias("prefix"), F.lit(None).cast("bigint").alias("suffix"), empty.alias("firsts"), empty.alias("lasts")))
+    found = kept.write(summed_level(first_level(often(built.where("part is not null"), least), folder, parts), least))
+    kept.drop(built)
+    levels = [level]
+    for m in range(2, depth + 1):
         first = level.select(F.col("gram").alias("prefix"), "lang", "phrase", F.array_append("firsts", F.col("f")).alias("firsts"))
         rest = level.select(F.col("gram").alias("suffix"), F.col("last"), F.array_append("lasts", F.col("f")).alias("lasts"))
-        joined = grams.select("gram", "prefix", "suffix", "f").join(first, "prefix").join(rest, "suffix")
+        joined = found.where("shard is null").select("gram", "prefix", "suffix", "f").join(first, "prefix").join(rest, "suffix")
         level = kept.write(joined.select("gram", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "prefix", "suffix", "firsts", "lasts"))
         levels.append(level)
-        known, before = found.where("shard is not null").select("shard", "gram", "left", "right", "n"), found
-    kept.drop(before)
+        if m < depth:
+            before = found
+            found = kept.write(summed_level(next_level(before.where("shard is not null").select("shard", "block"), folder, parts), least))
+            kept.drop(before)
+    kept.drop(found)
     Files(folder).remove()
     return totals, levels
 
