@@ -30,10 +30,12 @@ def test_manifest(spark, tmp_path):
     assert [g.members for g in groups] == [2]
 
 
-def test_the_size_guard_reaches_the_scan(spark, tmp_path):
+def test_large_files_are_not_read(spark, tmp_path, monkeypatch):
     (tmp_path / "x.txt").write_bytes(b"x")
-    plan = scan_files(spark, [str(tmp_path)])._jdf.queryExecution().executedPlan().toString()
-    assert "LessThanOrEqual(length,1073741824)" in plan
+    (tmp_path / "large.txt").write_bytes(b"xy")
+    (tmp_path / "large.txt").chmod(0)
+    rows = {r.name: r.content for r in scan_files(spark, [str(tmp_path)], max_bytes=1).collect()}
+    assert rows == {"x.txt": bytearray(b"x"), "large.txt": None}
 
 
 def test_plans(spark, tmp_path):

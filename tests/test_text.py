@@ -95,17 +95,6 @@ def test_bytes(spark):
         assert (row.d and tuple(row.d)) == size
 
 
-def test_decode(spark):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
-    try:
-        for raw, text in (("中文".encode(), "中文"), (b"\xef\xbb\xbfabc", "abc"), ("中文".encode("gb18030"), "中文"), ("ÿ".encode("utf-16"), "ÿ")):
-            assert spark.createDataFrame([(bytearray(raw),)], "c binary").select(T.decode_text(F.col("c")).alias("t")).first().t == text
-    finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
-        spark.conf.unset("spark.sql.legacy.codingErrorAction")
-
-
 def test_xml(spark):
     xml = '<w:p xmlns:w="urn:w"><w:r><w:t>Hello</w:t></w:r><w:r><w:t> world</w:t></w:r></w:p>'
     assert value(spark, T.xml_leaf_text(F.col("x")), x=xml) == "Hello world"

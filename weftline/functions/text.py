@@ -139,10 +139,11 @@ def sensitive_keys(json_text: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key: digit runs compare as numbers and after texts, texts in lower case."""
+    """Sort key: digit runs compare as numbers, however long, and after texts; texts in lower case."""
     parts = F.regexp_extract_all(F.lower(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
     digits = lambda p: p.rlike("^[0-9]")
-    return F.transform(parts, lambda p: F.struct(digits(p).cast("int").alias("is_number"), F.when(digits(p), F.lit("")).otherwise(p).alias("text"), F.when(digits(p), p.cast("decimal(38,0)")).alias("number")))
+    number = lambda p: F.regexp_replace(p, "^0+", "")  # noqa: E731  by its length, then by its digits
+    return F.transform(parts, lambda p: F.struct(digits(p).cast("int").alias("is_number"), F.when(digits(p), F.length(number(p))).otherwise(0).alias("size"), F.when(digits(p), number(p)).otherwise(p).alias("text")))
 
 
 def content_hash(c: Column) -> Column:
@@ -211,13 +212,3 @@ def xml_paragraphs(xml: Column, paragraph: str = "p", leaf: str = "t") -> Column
 def xml_leaf_text(xml: Column, paragraph: str = "p", leaf: str = "t") -> Column:
     """The paragraphs of an XML part, one a line; the size of :func:`xml_paragraphs` counts them."""
     return F.array_join(xml_paragraphs(xml, paragraph, leaf), "\n")
-
-
-def decode_text(content: Column) -> Column:
-    """Bytes as UTF-8, else GB18030, else UTF-16, without a byte order mark; null if none fits.
-
-    Needs spark.sql.legacy.javaCharsets and spark.sql.legacy.codingErrorAction, so that wrong bytes show as U+FFFD.
-    """
-    clean = lambda c: F.when(~F.contains(c, F.lit("�")), c)
-    out = F.coalesce(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")), clean(F.decode(content, "GB18030")), clean(F.decode(content, "UTF-16")))
-    return F.regexp_replace(out, "^﻿", "")

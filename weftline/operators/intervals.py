@@ -1,23 +1,37 @@
-"""Runs, gaps and orders inside groups, by windows."""
+"""Runs, gaps and orders inside groups. A group may hold a third of all rows: see ``frames``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-
-def longest_run(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Each group's longest run of one value in a row, ``run_value`` and ``run_length``; of equal runs the first. Null is a value."""
-    by = Window.partitionBy(*group).orderBy(*order)
-    place = F.row_number().over(by)
-    island = place - F.row_number().over(Window.partitionBy(*group, value).orderBy(*order))
-    runs = df.withColumn("__at", place).withColumn("__island", island).groupBy(*group, value, "__island").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    best = runs.groupBy(*group).agg(F.max(F.struct("__n", (-F.col("__first")).alias("f"), F.col(value).alias("v"))).alias("b"))
-    return best.select(*group, F.col("b.v").alias("run_value"), F.col("b.__n").alias("run_length"))
+from weftline.operators.frames import HOT_ROWS, Frame, with_frames
 
 
-def max_gap(df: DataFrame, group: Sequence[str], start: Column, end: Column, duration: Column, counts: Column | None = None) -> DataFrame:
+def longest_run(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, most: int = HOT_ROWS) -> DataFrame:
+    """Each group's longest run of one value in a row, ``run_value`` and ``run_length``; of equal runs the first. Null is a value."""
+    seen = with_frames(df, group, order, {"__at": Frame("place"), "__last": Frame("previous", F.struct(F.col(value).alias("v")))}, most)
+    begins = seen.where(F.col("__last").isNull() | ~F.col("__last.v").eqNullSafe(F.col(value)))
+    # a run is as long as it is from its beginning to the next one's, or to the end
+    ends = with_frames(begins.select(*group, value, "__at"), group, ["__at"], {"__next": Frame("next", F.col("__at"))}, most)
+    sizes = seen.groupBy(*group).agg(F.max("__at").alias("__size"))
+    best = F.max(F.struct("__n", (-F.col("__at")).alias("f"), F.col(value).alias("v"))).alias("b")
+    last = ends.where("__next is null").withColumn("__keep", F.lit(True))
+    whole = ends.where("__next is not null").withColumn("__n", F.col("__next") - F.col("__at"))
+    tail = last.alias("l").join(sizes.alias("s"), _same(group), "inner").select(*[F.col(f"l.{c}") for c in (*group, value, "__at")], (F.col("s.__size") - F.col("l.__at") + 1).alias("__n"))
+    runs = whole.select(*group, value, "__at", "__n").unionByName(tail)
+    return runs.groupBy(*group).agg(best).select(*group, F.col("b.v").alias("run_value"), F.col("b.__n").alias("run_length"))
+
+
+def _same(group: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for g in group:
+        out = out & F.col(f"l.{g}").eqNullSafe(F.col(f"s.{g}"))
+    return out
+
+
+def max_gap(df: DataFrame, group: Sequence[str], start: Column, end: Column, duration: Column, counts: Column | None = None, most: int = HOT_ROWS) -> DataFrame:
     """Each group's longest part of [0, duration] that no interval covers, as ``max_gap``.
 
     Intervals are clamped to [0, duration]. Where ``counts`` is given, intervals for which it isn't true cover nothing; a group
@@ -27,46 +41,49 @@ def max_gap(df: DataFrame, group: Sequence[str], start: Column, end: Column, dur
     hi = F.greatest(F.least(end, duration), lo)
     on = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
     rows = df.select(*group, duration.alias("__d"), F.when(on, lo).alias("__lo"), F.when(on, hi).alias("__hi"))
-    before = F.coalesce(F.max("__hi").over(Window.partitionBy(*group).orderBy(F.asc_nulls_last("__lo"), "__hi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    gaps = rows.withColumn("__gap", F.greatest(F.col("__lo") - before, F.lit(0.0)))
+    covered = with_frames(rows, group, [F.asc_nulls_last("__lo"), F.asc("__hi")], {"__before": Frame("max_before", F.col("__hi"))}, most)
+    gaps = covered.withColumn("__gap", F.greatest(F.col("__lo") - F.coalesce("__before", F.lit(0.0)), F.lit(0.0)))
     tail = F.max("__d") - F.coalesce(F.max("__hi"), F.lit(0.0))
     return gaps.groupBy(*group).agg(F.greatest(F.max("__gap"), tail).alias("max_gap"))
 
 
-def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], start: Column, end: Column, tolerance: float = 0.05) -> DataFrame:
+def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], start: Column, end: Column, tolerance: float = 0.05, most: int = HOT_ROWS) -> DataFrame:
     """Neighbours that overlap (error) or leave a gap (warning) by more than the tolerance, as ``status`` and ``seconds``."""
-    step = start - F.lag(end).over(Window.partitionBy(*group).orderBy(*order))
-    rows = df.withColumn("__step", step).where(F.abs("__step") > tolerance)
-    return rows.withColumn("status", F.when(F.col("__step") < 0, "overlap").otherwise("gap")).withColumn("seconds", F.abs("__step")).drop("__step")
+    rows = with_frames(df, group, order, {"__end": Frame("previous", end)}, most).withColumn("__step", start - F.col("__end")).where(F.abs("__step") > tolerance)
+    return rows.withColumn("status", F.when(F.col("__step") < 0, "overlap").otherwise("gap")).withColumn("seconds", F.abs("__step")).drop("__step", "__end")
 
 
-def not_strictly_increasing(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def not_strictly_increasing(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, most: int = HOT_ROWS) -> DataFrame:
     """Rows whose value isn't above all earlier ones; a row that fails doesn't raise the mark, as it can't be the largest."""
-    mark = F.max(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("previous_max", mark).where(F.col(value) <= F.col("previous_max"))
+    return with_frames(df, group, order, {"previous_max": Frame("max_before", F.col(value))}, most).where(F.col(value) <= F.col("previous_max"))
 
 
-def decreasing(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def decreasing(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, most: int = HOT_ROWS) -> DataFrame:
     """Rows whose value is below that of the row before."""
-    return df.withColumn("previous", F.lag(value).over(Window.partitionBy(*group).orderBy(*order))).where(F.col(value) < F.col("previous"))
+    return with_frames(df, group, order, {"previous": Frame("previous", F.col(value))}, most).where(F.col(value) < F.col("previous"))
 
 
-def exact_sequence(df: DataFrame, group: Sequence[str], order: str, value: str, expected: Sequence[str]) -> DataFrame:
-    """Each group with whether its values, in order, are exactly ``expected``, as ``matches``."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    return df.groupBy(*group).agg(F.coalesce(values == F.array(*map(F.lit, expected)), F.lit(False)).alias("matches"))
+def exact_sequence(df: DataFrame, group: Sequence[str], order: str, value: str, expected: Sequence[str], most: int = HOT_ROWS) -> DataFrame:
+    """Each group with whether its values, in order (ties by value), are exactly ``expected``, as ``matches``.
+
+    Rows are compared by place and the hits counted, so no group is held as a list.
+    """
+    placed = with_frames(df, group, [order, value], {"__at": Frame("place")}, most)
+    hit = F.col(value) == F.get(F.array(*map(F.lit, expected)), F.col("__at").cast("int") - 1)
+    return placed.groupBy(*group).agg(((F.count(F.lit(1)) == len(expected)) & (F.count_if(hit) == len(expected))).alias("matches"))
 
 
-def first_row_rule(df: DataFrame, group: Sequence[str], order: str, value: str, opening: Sequence[str]) -> DataFrame:
+def first_row_rule(df: DataFrame, group: Sequence[str], order: str, value: str, opening: Sequence[str], most: int = HOT_ROWS) -> DataFrame:
     """Rows that break the rule that the first row of a group, and no other, has an opening value; with ``place`` from 1."""
-    rows = df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+    rows = with_frames(df, group, [order], {"place": Frame("place")}, most)
     opens = F.coalesce(F.col(value).isin(*opening), F.lit(False))
     return rows.where((F.col("place") == 1) != opens)
 
 
-def adjacent_pairs(df: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
+def adjacent_pairs(df: DataFrame, group: Sequence[str], order: str, value: str, most: int = HOT_ROWS) -> DataFrame:
     """Each row but a group's last, with the value after it as ``next_value``."""
-    return df.withColumn("next_value", F.lead(value).over(Window.partitionBy(*group).orderBy(order))).withColumn("__more", F.lead(F.lit(True)).over(Window.partitionBy(*group).orderBy(order))).where("__more").drop("__more")
+    rows = with_frames(df, group, [order], {"__next": Frame("next", F.struct(F.col(value).alias("v")))}, most)
+    return rows.where(F.col("__next").isNotNull()).withColumn("next_value", F.col("__next.v")).drop("__next")
 
 
 def check_adjacent(sequence: DataFrame, pairs: DataFrame, group: Sequence[str], order: str, item: str) -> DataFrame:

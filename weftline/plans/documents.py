@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions import text as T, values as V
-from weftline.operators import checks, duplicates
+from weftline.operators import checks, duplicates, extraction
 from weftline.plans.base import Tables, query
 from weftline.session import settled
 
@@ -68,17 +68,20 @@ def bounded_text(t: Tables) -> DataFrame:
     return cut.select("doc_id", F.col("b.text").alias("bounded"), F.col("b.truncated").alias("truncated"))
 
 
+#: Bytes of a source that the query reads at most.
+READ_LIMIT = 12_000
+#: The file that a document of a language is taken to be.
+FILES = {"en": ".txt", "de": ".md", "es": ".pdf", "fr": ".xyz"}
+
+
 def extracted(t: Tables) -> DataFrame:
-    """Documents and pages as extraction records: method, bounded text, status and what a person must still look at."""
-    docs = t.documents.select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.lit("plain-text").alias("method"), T.normalize_text(F.col("text")).alias("text"))
-    pages = t.pages.select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.lit("html-visible-text").alias("method"), T.html_visible_text(F.col("html")).alias("text"))
-    rows = docs.unionByName(pages)
-    blank = T.is_blank(F.col("text"))
-    # a text of mostly marks reads as a picture of one: it counts as needing eyes
-    odd = F.length(F.regexp_replace("text", r"[^*#%$&]", "")) * 20 > F.length("text")
-    status = F.when(blank, "manual-review-required").when(odd, "metadata-only").otherwise("extracted")
-    review = F.array_join(F.array_compact(F.array(F.when(blank, "visual-inspection-or-ocr"), F.when(~blank & odd, "visual-inspection"))), ",")
-    return rows.select("origin", "id", "method", status.alias("status"), F.when(blank, 0).otherwise(F.length("text")).cast("long").alias("text_characters"), review.alias("review_requirements"))
+    """Documents and pages as files of several kinds, extracted: method, status, length, what people must still look at, and errors."""
+    kinds = F.create_map(*[F.lit(x) for kv in FILES.items() for x in kv])
+    as_files = lambda df, origin, key, extension, body: df.select(F.concat(F.lit(f"{origin}:"), F.col(key).cast("string")).alias("id"), F.concat(F.col(key).cast("string"), extension).alias("relative_path"), extension.alias("extension"), F.lit("text").alias("category"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("bigint").alias("bytes"), F.encode(body, "UTF-8").alias("content"), F.lit(None).cast("struct<width:int,height:int>").alias("dimensions"))
+    files = as_files(t.documents, "document", "doc_id", F.coalesce(kinds[F.col("lang")], F.lit(".txt")), "text").unionByName(as_files(t.pages, "page", "page_id", F.lit(".html"), "html"))
+    rows = extraction.extract(files, most_entry=READ_LIMIT)
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    return rows.select(F.substring_index("id", ":", 1).alias("origin"), F.substring_index("id", ":", -1).cast("bigint").alias("id"), F.col("extraction_method").alias("method"), good(F.col("status")).alias("status"), good(F.col("text_characters")).alias("text_characters"), good(F.array_join("review_requirements", ",")).alias("review_requirements"), "error")
 
 
 def _visible(c: str) -> str:
@@ -95,10 +98,13 @@ def _visible(c: str) -> str:
 
 VISIBLE = _visible("html")
 EXTRACTED = rf"""
-select origin, id, method, case when blank then 'manual-review-required' when odd then 'metadata-only' else 'extracted' end as status, case when blank then 0 else length(text) end as text_characters,
-  case when blank then 'visual-inspection-or-ocr' when odd then 'visual-inspection' else '' end as review_requirements
-from (select *, text = '' as blank, length(regexp_replace(text, '[^*#%$&]', '', 'g')) * 20 > length(text) as odd from (
-  select 'document' as origin, doc_id as id, 'plain-text' as method, {NORMAL_TEXT} as text from documents union all select 'page', page_id, 'html-visible-text', {VISIBLE} from pages))
+select origin, id, case kind when '.pdf' then 'unavailable' when '.xyz' then null when '.html' then 'html-visible-text' else 'plain-text' end as method,
+  case when error is null then case when kind = '.xyz' then 'unsupported' when kind = '.pdf' or text = '' then 'manual-review-required' else 'extracted' end end as status,
+  case when error is null then case when kind in ('.xyz', '.pdf') then 0 else length(text) end end as text_characters,
+  case when error is null then case when kind = '.xyz' then 'supported-extractor' when kind = '.pdf' then 'visual-inspection-or-pdf-extractor' when text = '' then 'visual-inspection-or-ocr' else '' end end as review_requirements, error
+from (select *, case when kind not in ('.xyz', '.pdf') and bytes > {READ_LIMIT} then 'source is larger than the read limit' end as error from (
+  select 'document' as origin, doc_id as id, case lang when 'de' then '.md' when 'es' then '.pdf' when 'fr' then '.xyz' else '.txt' end as kind, strlen(text) as bytes, {NORMAL_TEXT} as text from documents
+  union all select 'page', page_id, '.html', strlen(html), {VISIBLE} from pages))
 """
 
 
@@ -107,9 +113,9 @@ def extraction_status(t: Tables) -> DataFrame:
     return extracted(t)
 
 
-@query(f"select origin, status, count(*) as n from ({EXTRACTED}) group by origin, status")
+@query(f"select coalesce(status, 'error') as status, count(*) as n from ({EXTRACTED}) group by 1")
 def status_counts(t: Tables) -> DataFrame:
-    return extracted(t).groupBy("origin", "status").agg(F.count(F.lit(1)).alias("n"))
+    return extraction.extraction_summary(extracted(t))
 
 
 @query(f"select page_id, {VISIBLE} as visible from pages")

@@ -8,55 +8,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions import text as T
-from weftline.operators.checks import union_all
 from weftline.operators.duplicates import mark_duplicates
+from weftline.sources.trees import list_tree, with_contents
 
 #: Names that are never materials.
 IGNORED = (".ds_store", "thumbs.db", "desktop.ini")
 
 
-#: What comes before the path in a URI: scheme and authority.
-_SITE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-
-
-def _place(uri: str) -> str:
-    """The path of an absolute path or URI, without a slash at its end."""
-    path = re.sub("/+", "/", re.sub(_SITE, "", uri)).rstrip("/")
-    if not re.sub(_SITE, "", uri).startswith("/"):
-        raise ValueError(f"not an absolute path or URI: {uri}")
-    return path
-
-
 def discovery_order(path: Column) -> Column:
     """Sort key of a path under its root: a folder's files before its folders, each in natural order."""
     parts = F.split(path, "/")
     return F.transform(parts, lambda p, i: F.struct((i < F.size(parts) - 1).cast("int").alias("folder"), T.natural_key(p).alias("name"), p.alias("exact")))
 
 
-def scan_files(spark: SparkSession, roots: Sequence[str], exclude: Sequence[str] = (), max_depth: int = 12, max_bytes: int = 1 << 30) -> DataFrame:
+def scan_files(spark: SparkSession, roots: Sequence[str], exclude: Sequence[str] = (), max_depth: int = 12, max_bytes: int = 1 << 30, max_items: int | None = None) -> DataFrame:
     """All files under the roots: root_index, relative_path, name, extension, depth, bytes, modified_at, content.
 
-    Files too large have null content; the size is a filter on the scan, so such a file is never read. Ignored names, excluded
-    folders and files, and files deeper than ``max_depth`` folders are left out, and so are names that Spark's readers hide, with a dot or an
-    underscore first. Links are followed or not as the file system does. Roots and exclusions are absolute paths or URIs; a root may
-    be a file, which lies at the top. The order of materials is by root and then :func:`discovery_order`.
+    Files too large have null content and are never read; ignored names, excluded folders and files, links, and files deeper than
+    ``max_depth`` folders are left out. More files than ``max_items`` raise ValueError before contents are read. Roots and exclusions
+    are absolute paths or URIs; a root may be a file, which lies at the top. The order of materials is by root and then
+    :func:`discovery_order`.
     """
-    parts = []
-    for index, root in enumerate(roots):
-        base = _place(root)
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        inside = F.regexp_replace("path", _SITE, "")
-        relative = F.when(inside == base, F.element_at(F.split(inside, "/"), -1)).otherwise(F.substring(inside, len(base) + 2, 1 << 20))
-        columns = ["path", F.lit(index).alias("root_index"), relative.alias("relative_path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at")]
-        parts.append(files.where(F.col("length") <= max_bytes).select(*columns, "content"))
-        parts.append(files.where(F.col("length") > max_bytes).select(*columns, F.lit(None).cast("binary").alias("content")))
-    rows = union_all(parts)
-    for gone in exclude:
-        at = F.regexp_replace("path", _SITE, "")
-        rows = rows.where((at != _place(gone)) & ~at.startswith(_place(gone) + "/"))
-    name = F.element_at(F.split("relative_path", "/"), -1)
-    rows = rows.withColumns({"name": name, "extension": F.lower(F.regexp_extract(name, r".(\.[^.]+)$", 1)), "depth": F.size(F.split("relative_path", "/")) - 1})
-    return rows.where(~F.lower("name").isin(*IGNORED)).where(F.col("depth") <= max_depth).drop("path")
+    for place in (*roots, *exclude):
+        if not (place.startswith("/") or re.match("[A-Za-z][A-Za-z0-9+.-]*:/", place)):
+            raise ValueError(f"not an absolute path or URI: {place}")
+    rows = list_tree(spark, roots, exclude, max_depth, max_items).where(~F.lower("name").isin(*IGNORED))
+    rows = rows.withColumn("extension", F.lower(F.regexp_extract("name", r".(\.[^.]+)$", 1)))
+    return with_contents(rows, max_bytes).drop("uri")
 
 
 def manifest(files: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
@@ -69,3 +47,13 @@ def manifest(files: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
                         F.when(F.col("category") == "image", T.image_dims(F.col("content"), F.col("mime"))).alias("dimensions"))
     place = F.struct(F.col("root_index").alias("r"), discovery_order(F.col("relative_path")).alias("n"))
     return mark_duplicates(rows.withColumn("__place", place), "sha256", "__place", "id").drop("__place")
+
+
+def manifest_summary(rows: DataFrame) -> DataFrame:
+    """One row about a manifest: total, supported, unsupported, exact_duplicate_groups, and the number of each category as a map."""
+    groups = rows.where("sha256 is not null").groupBy("sha256").count().where("count > 1").agg(F.count(F.lit(1)).alias("exact_duplicate_groups"))
+    each = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    is_ = F.col("category") == "unsupported"
+    counts = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~is_, F.col("n"))), F.lit(0)).alias("supported"), F.coalesce(F.sum(F.when(is_, F.col("n"))), F.lit(0)).alias("unsupported"),
+                      F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"))
+    return counts.withColumn("exact_duplicate_groups", groups.scalar())
