@@ -172,6 +172,19 @@ def longer(index: dict[str, np.ndarray], gram: np.ndarray, left: np.ndarray, rig
     return prefix[a], suffix[b], count[a], start[a], behind[a]
 
 
+#: Arrays of an index, in the order in which its file holds them.
+_ARRAYS = ("first", "before", "after", "hash")
+
+
+def kept_index(files: Files, shard: int, index: dict[str, np.ndarray]) -> None:
+    """Write a shard's index, compressed: transforms hold like words beside each other."""
+    files.write(f"{shard:x}", {"index": np.frombuffer(block(*[index[a] for a in _ARRAYS]), np.uint8)}, exact=True)
+
+
+def index_from(files: Files, shard: int) -> dict[str, np.ndarray]:
+    return dict(zip(_ARRAYS, unblock(files.map(f"{shard:x}")["index"].tobytes()), strict=True))
+
+
 def pairs_of(index: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """All pairs of words of a shard in the order of their cells: cell, first and second word, count, and both starts' parts (how many
     have the first word and a smaller second one, and the first place in the other order)."""
@@ -215,7 +228,7 @@ def build_shards(docs: DataFrame, text: str, lang: str, depth: int, folder: str,
         if len(tokens):
             index = index_of(tokens, len(names), depth) | {"hash": word_hashes(names, salt)}
             shard = uuid.uuid4().int >> 65
-            files.write(f"{shard:x}", index, exact=True)
+            kept_index(files, shard, index)
             n = np.diff(index["first"][1:])
             used = np.flatnonzero(n)  # words behind the last separator aren't there
             out.append(batch(lang=pa.array([names[i][0] for i in used.tolist()], pa.string()), word=pa.array([names[i][1] for i in used.tolist()], pa.binary()), n=pa.array(n[used])))
@@ -264,7 +277,7 @@ def first_level(flags: DataFrame, folder: str, parts: int) -> DataFrame:
 
     def extend(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        index = files.map(f"{shard:x}")
+        index = index_from(files, shard)
         cell, one, two, count, smaller, place = pairs_of(index)
         own = part_of(cell, parts)
         keep = np.zeros(len(cell), bool)
@@ -293,7 +306,7 @@ def next_level(replies: DataFrame, folder: str, parts: int) -> DataFrame:
     def extend(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         gram, left, right, n = (np.concatenate(c).astype(np.int64) for c in zip(*map(unblock, table.column("block").to_pylist()), strict=True))
-        prefix, suffix, count, left, right = longer(files.map(f"{shard:x}"), gram, left, right, n)
+        prefix, suffix, count, left, right = longer(index_from(files, shard), gram, left, right, n)
         return entries(shard, parts, prefix, suffix, count, left, right)
 
     return replies.groupBy("shard").applyInArrow(extend, "part int, shard bigint, block binary")
