@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.session import settled
@@ -16,11 +20,21 @@ _HOLDER: list[tuple[str, Callable[[], None]]] = []
 
 
 def claim(owner: str, forget: Callable[[], None]) -> None:
-    """Called by a task that is about to remember things in its worker: what another operator remembered there is forgotten."""
+    """Called by a task that is about to remember things in its worker: what another operator remembered there is forgotten, and its
+    memory given back."""
     if not _HOLDER or _HOLDER[0][0] != owner:
         for _, forget_other in _HOLDER:
             forget_other()
         _HOLDER[:] = [(owner, forget)]
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the machine, as far as its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

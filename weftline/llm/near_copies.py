@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.common import claim, representatives, text_hash, with_least
+from weftline.llm.common import claim, give_back, representatives, text_hash, with_least
 from weftline.llm.simhash import GROUP_ROWS, LEAST_GROUPS, fingerprint, links, shingle_hashes, union
 from weftline.session import Kept
 
@@ -31,6 +31,8 @@ WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, BAND = 40, 5
 #: Shingles that are min-hashed at once, and edges of one set that meet in one task.
 BLOCK, EDGES = 512, 200
+#: Rows of a batch that are worked on at once.
+ROWS = 500
 #: Rows of a table that is broadcast, and edges whose components one task may find.
 FEW, FEW_EDGES = 200_000, 100_000
 
@@ -58,6 +60,13 @@ def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of them isn't held for a whole batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, th, fp, sid, bands)`` of each row: the hash of its text, its fingerprint, the id of its set of shingles, and the set's
     bands."""
@@ -65,7 +74,7 @@ def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near_copies", lambda: None)
-        for b in batches:
+        for b in sliced(batches):
             fps, sids, every = np.empty(b.num_rows, np.uint64), [], []
             for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 hashes = shingle_hashes(t, WORDS, SEED)
@@ -73,6 +82,7 @@ def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sids.append(set_id(own))
                 every.append(bands(own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(sids, pa.int64()), pa.array(every, pa.list_(pa.int64()))], names=["key", "th", "fp", "sid", "bands"])
+        give_back()
 
     return docs.select(f"`{key}`", text_hash(text), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"key {kind}, th bigint, fp bigint, sid bigint, bands array<bigint>")
 
@@ -119,9 +129,10 @@ def sets_of(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, text: str,
     body = docs.select(text_hash(text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).join(one, "th", "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingles(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
+        give_back()
 
     return body.mapInArrow(run, "sid bigint, shingles array<bigint>").dropDuplicates(["sid"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weftline.llm.common import claim
+from weftline.llm.common import claim, give_back
 from weftline.session import settled
 
 CAPACITY = 2048
@@ -194,6 +194,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(doc, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(f"`{key}`", F.col(f"`{text}`").cast("string")).mapInArrow(run, PIECES.format(key=kind))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from weftline.llm.common import claim, remainder, sampled_labels, without
+from weftline.llm.common import claim, give_back, remainder, sampled_labels, without
 
 GRAMS = (3, 4, 5, 6)
 BITS = 18
@@ -131,6 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int =
         if texts:
             model = train(texts, np.array(ys))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.embedding.astype(np.float16), model.softmax, model.bias))], pa.binary())], names=["model"])
+        texts.clear()
+        model = None
+        give_back()
 
     rows = sample.repartition(1).sortWithinPartitions("__key", "t").select("t", "__y").mapInArrow(run, "model binary").collect()
     if not rows:
@@ -158,6 +161,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 z = bias + (float(weights[ids].mean(dtype=np.float64)) if len(ids) else 0.0)
                 out[i] = 1 / (1 + np.exp(-z)) if z > -500 else 0.0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=names)
+        give_back()
 
     schema = StructType([*base.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
     return base.mapInArrow(run, schema)
