@@ -8,6 +8,8 @@ import json
 
 from pyspark.sql import Column, functions as F
 
+from weftline.functions.arrays import blocks, let
+
 #: Characters that end a line.
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Sentence and clause marks.
@@ -92,15 +94,27 @@ def sentence_units(c: Column) -> Column:
 
 
 def packed(units: Column, most: int) -> Column:
-    """Units joined, in order and without separator, as long as a run's speech length stays within ``most``."""
-    none = F.expr("cast(array() as array<string>)")
+    """Units joined, in order and without separator, as long as a run's speech length stays within ``most``.
+
+    Every unit is measured once; what is folded is numbers, in blocks: the length of the open run, and where runs begin.
+    """
+    none = F.array().cast("array<int>")
+
+    def step(acc: Column, n: Column) -> Column:
+        over = (acc["size"] > 0) & (acc["size"] + n > most)
+        return F.struct(F.when(over, n).otherwise(acc["size"] + n).alias("size"), (acc["at"] + 1).alias("at"), F.when(over, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"))
+
+    def block(acc: Column, lengths: Column) -> Column:
+        inner = F.aggregate(lengths, F.struct(acc["size"].alias("size"), acc["at"].alias("at"), none.alias("cuts")), step)
+        return let(inner, lambda i: F.struct(i["size"].alias("size"), i["at"].alias("at"), F.concat(acc["cuts"], F.array(i["cuts"])).alias("cuts")))
 
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.concat(acc["cur"], x)
-        over = (acc["cur"] != "") & (speech_length(joined) > most)
-        return F.struct(F.when(over, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"), F.when(over, x).otherwise(joined).alias("cur"))
+    def joined(units: Column) -> Column:
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("cuts"))
+        cuts = F.aggregate(blocks(F.transform(units, speech_length)), start, block, lambda acc: F.flatten(acc["cuts"]))
+        ends = lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(F.size(units))), lambda i, j: F.array_join(F.slice(units, i + 1, j - i), ""))
+        return F.when(F.size(units) == 0, F.array().cast("array<string>")).otherwise(let(cuts, ends))
 
-    return F.aggregate(units, F.struct(none.alias("out"), F.lit("").alias("cur")), step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
+    return let(units, joined)
 
 
 def split_oversized(units: Column, most: int) -> Column:
@@ -112,8 +126,8 @@ def split_oversized(units: Column, most: int) -> Column:
 
     def one(unit: Column) -> Column:
         clauses = _stripped(F.split(F.regexp_replace(unit, rf"([{CLAUSE_END}])(?U)\s*", "$1\u0000"), "\u0000"))
-        parts = packed(clauses, most)
-        return F.when(speech_length(unit) <= most, F.array(unit)).otherwise(F.flatten(F.transform(parts, lambda p: F.when(speech_length(p) <= most, F.array(p)).otherwise(chopped(p)))))
+        cut = F.flatten(F.transform(packed(clauses, most), lambda p: F.when(speech_length(p) <= most, F.array(p)).otherwise(chopped(p))))
+        return F.when(speech_length(unit) <= most, F.array(unit)).otherwise(cut)
 
     return F.flatten(F.transform(units, one))
 

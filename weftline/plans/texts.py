@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.operators import rules as R
+from weftline.operators import phrases as P, rules as R
 from weftline.operators.rules import Rule
 from weftline.plans.base import Tables, query
 from weftline.plans.documents import UNITS
@@ -93,14 +93,79 @@ def line_lint(t: Tables) -> DataFrame:
     return R.lint(t.documents, LINT)
 
 
-@query(f"""
+#: Connectors of the documents' languages.
+CONNECTORS = r"(?:^|[^\p{L}])(?:and|but|or|und|oder|aber|et|mais|ou|y|pero)(?:$|[^\p{L}])"
+
+
+def _top(name: str, rows: str) -> str:
+    return f"{name} as (select source, string_agg(w, ' ' order by r) as {name} from (select source, w, row_number() over (partition by source order by count(*) desc, w) as r from ({rows}) group by source, w) where r <= 5 group by source)"
+
+
+@query(rf"""
 with u as (select source, unnest({UNITS}) as x from documents),
-n as (select source, count(*) as n_units, round(avg(length(x)), 4) as mean_length, round(stddev_samp(length(x)), 4) as dev_length from u group by source),
-w as (select source, w, count(*) as n from (select source, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by 1, 2),
-k as (select source, string_agg(w, ' ' order by r) as top_words from (select *, row_number() over (partition by source order by n desc, w) as r from w) where r <= 5 group by source)
-select n.*, c.confident, k.top_words from n join (select source, sum(length(text)) >= 150 as confident from documents group by source) c using (source) left join k using (source)""")
+n as (select source, count(*) as n_units, round(avg(length(x)), 4) as mean_length, round(stddev_samp(length(x)), 4) as dev_length, round(avg(len(regexp_extract_all(x, '{CONNECTORS}'))), 4) as connectors from u group by source),
+{_top("top_words", r"select source, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) as w from documents")},
+{_top("openings", r"select * from (select source, regexp_extract(lower(x), '[\p{L}]+') as w from u) where w <> ''")},
+{_top("endings", "select source, x[-1] as w from u")}
+select n.*, c.confident, top_words, openings, endings from n join (select source, sum(length(text)) >= 150 as confident from documents group by source) c using (source) left join top_words using (source) left join openings using (source) left join endings using (source)""")
 def style_fingerprint(t: Tables) -> DataFrame:
-    return R.style_fingerprint(t.documents, "source")
+    return R.style_fingerprint(t.documents, "source", connectors=CONNECTORS)
+
+
+#: Words of the documents and the Chinese phrases that stand for them in what the next queries read.
+CHINESE = {"of the": "众所周知，根据用户提供的素材中提到", "que": "赋能闭环", "nicht": "不仅快，更好", "was": "从这份素材中可以看出", "in the": "我整理了 4 个判断", "est": "普通人最该学的是", "from": "不是快，而是稳", "und": "检索结果表明，原始素材显示"}
+
+
+def chinese(t: Tables) -> DataFrame:
+    """The documents with some words replaced by Chinese phrases."""
+    body = F.col("text")
+    for word, phrase in CHINESE.items():
+        body = F.replace(body, F.lit(f" {word} "), F.lit(phrase))
+    return t.documents.select("doc_id", body.alias("text"))
+
+
+def _chinese_sql() -> str:
+    body = "text"
+    for word, phrase in CHINESE.items():
+        body = f"replace({body}, ' {word} ', '{phrase}')"
+    return f"select doc_id, {body} as text from documents"
+
+
+_JOINT = {c: "|".join(f"(?:{r.pattern})" for r in P.phrase_rules() if r.category == c) for c in sorted({r.category for r in P.phrase_rules()})}
+
+
+@query(f"with d as materialized ({_chinese_sql()}) " + " union all ".join(f"select doc_id, '{c}' as category, len(regexp_extract_all(text, '{p}')) as hits from d where regexp_matches(text, '{p}')" for c, p in _JOINT.items()))
+def worn_phrases(t: Tables) -> DataFrame:
+    """Worn Chinese phrases by category."""
+    return R.category_counts(chinese(t), P.phrase_rules())
+
+
+@query(f"with d as materialized ({_chinese_sql()}) " + " union all ".join(f"select doc_id, '{r.rule_id}' as rule_id, '{r.category}' as category, len(regexp_extract_all(text, '{r.pattern}')) as hits from d where regexp_matches(text, '{r.pattern}')" for r in P.phrase_rules()))
+def phrase_table(t: Tables) -> DataFrame:
+    """All phrases as a table of rules, found by their anchors."""
+    return R.rule_hits(chinese(t), P.phrase_rules())
+
+
+@query(f"select doc_id, n as n_signals, n >= 3 as template_like from (select doc_id, " + " + ".join(f"regexp_matches(text, '{r.pattern}')::bigint" for r in P.template_rules()) + f" as n from ({_chinese_sql()}))")
+def chinese_template(t: Tables) -> DataFrame:
+    return R.template_score(chinese(t), P.template_rules())
+
+
+def _accepted() -> str:
+    """Each rule's spans that overlap none of those accepted before it."""
+    out = [f"s{i} as ({_spans(r)})" for i, r in enumerate(P.SOURCE_TALK)] + ["a0 as (select * from s0)"]
+    for i in range(1, len(P.SOURCE_TALK)):
+        out.append(f"a{i} as (select * from a{i - 1} union all select * from s{i} s where not exists (select 1 from a{i - 1} a where a.doc_id = s.doc_id and a.line = s.line and s.start < a.stop and s.stop > a.start))")
+    return ",\n".join(out)
+
+
+@query(rf"""
+with lines as materialized (select doc_id, l[i] as body, i as line from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as l from ({_chinese_sql()})))),
+{_accepted()}
+select doc_id, line, start + 1 as "column", rule, hit as "match" from a{len(P.SOURCE_TALK) - 1}""")
+def source_talk(t: Tables) -> DataFrame:
+    """Wording that speaks of the material behind a text."""
+    return R.lint(chinese(t), P.SOURCE_TALK)
 
 
 def _rewritten(t: Tables) -> DataFrame:
