@@ -29,7 +29,13 @@ def asset_targets(df: DataFrame, digest: str, position: str, key: str) -> DataFr
 
 
 def summary(df: DataFrame, group: str, category: str, digest: str) -> DataFrame:
-    """Counts of each group: items, supported ones, and members of duplicate groups."""
-    size = df.groupBy(digest).agg(F.count(F.lit(1)).alias("__n"))
-    counted = df.join(size, digest, "left")
-    return counted.groupBy(group).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(category) != "unsupported").alias("supported"), F.count_if(F.col("__n") > 1).alias("in_duplicate_groups"))
+    """Counts of each group: items, supported and unsupported ones, members of duplicate groups, those groups, and items by category
+    as ``category:n`` in order of the names."""
+    size = df.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count(F.lit(1)).alias("__n"))
+    again = F.col("__n") > 1
+    # by category and content first, so that what meets in a group is small however many rows it has
+    cells = df.groupBy(group, category, digest).agg(F.count(F.lit(1)).alias("__rows")).join(size, digest, "left")
+    kinds = cells.groupBy(group, category).agg(F.sum("__rows").alias("__rows")).groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", category, F.col("__rows").cast("string")))), " ").alias("categories"))
+    rows = lambda when, name: F.coalesce(F.sum(F.when(when, F.col("__rows"))), F.lit(0)).alias(name)
+    counts = cells.groupBy(group).agg(F.sum("__rows").alias("total"), rows(F.col(category) != "unsupported", "supported"), rows(F.col(category) == "unsupported", "unsupported"), rows(again, "in_duplicate_groups"), F.count_distinct(F.when(again, F.col(digest))).alias("duplicate_groups"))
+    return counts.join(kinds, group)

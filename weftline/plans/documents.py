@@ -46,7 +46,7 @@ def asset_targets(t: Tables) -> DataFrame:
     return duplicates.asset_targets(settled(materials(t)), "sha256", "doc_id", "doc_id").select("doc_id", "target_id")
 
 
-@query(f"with m as ({MATERIALS}), n as (select *, count(*) over (partition by sha256) as n from m) select source, count(*) as total, count(*) filter (where category <> 'unsupported') as supported, count(*) filter (where n > 1) as in_duplicate_groups from n group by source")
+@query(f"with m as ({MATERIALS}), n as (select *, count(*) over (partition by sha256) as n from m), k as (select source, string_agg(category || ':' || n, ' ' order by category) as categories from (select source, category, count(*) as n from m group by all) group by source) select n.source, count(*) as total, count(*) filter (where category <> 'unsupported') as supported, count(*) filter (where category = 'unsupported') as unsupported, count(*) filter (where n > 1) as in_duplicate_groups, count(distinct sha256) filter (where n > 1) as duplicate_groups, any_value(categories) as categories from n join k using (source) group by n.source")
 def manifest_summary(t: Tables) -> DataFrame:
     return duplicates.summary(settled(materials(t)), "source", "category", "sha256")
 

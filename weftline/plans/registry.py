@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import documents, listings, records, texts  # noqa: F401
+from weftline.plans import documents, listings, measures, records, texts  # noqa: F401
 from weftline.plans.base import QUERIES, SQL
 
 
