@@ -22,10 +22,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from weftline.functions.arrays import sums_before
+
 #: The marks of a turn.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
-#: Turns whose lengths are summed at once.
-BLOCK = 256
 #: Roles that stand for others in lists of messages.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 _SCALAR = r"(?<=: |ARRAY<|^)(?:STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
@@ -229,19 +229,6 @@ def unescaped_role(role: Column) -> Column:
     return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
-def _sums(numbers: Column) -> Column:
-    """For a short array, 0 and all sums of its first numbers."""
-    return F.aggregate(numbers, F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-
-def sums_before(numbers: Column) -> Column:
-    """The sum of what comes before each number, block by block, so that no long array grows by one number at a time."""
-    blocks = F.when(F.size(numbers) == 0, F.array().cast("array<array<bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))))
-    inner = F.transform(blocks, _sums)
-    bases = _sums(F.transform(inner, lambda s: F.element_at(s, -1)))
-    return F.flatten(F.zip_with(inner, F.slice(bases, F.lit(1), F.size(inner)), lambda s, base: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x + base)))
-
-
 def formatted(df: DataFrame, turns: str = "turns", learnt: str = "assistant") -> DataFrame:
     """``df`` with ``formatted``, the text of all turns, and ``loss_spans``, the places (code points, end exclusive) of the texts of
     role ``learnt`` in it; columns of these names are replaced."""
