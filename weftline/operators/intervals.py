@@ -93,3 +93,23 @@ def check_adjacent(sequence: DataFrame, pairs: DataFrame, group: Sequence[str],
     told = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     status = F.when(F.col("__n").isNull(), "missing").when(F.col("__there").isNull(), "not_adjacent").when(F.col("__n") > 1, "duplicate")
     return there.withColumn("__there", F.lit(True)).join(told, keys, "full_outer").select(*keys, status.alias("status")).where("status is not null")
+
+
+def points_in_spans(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: float) -> DataFrame:
+    """Points joined with the spans of their key that hold them, [start, end).
+
+    Time is cut into bins of ``width``; a span is copied to the bins it touches and a point is in one, so that points and spans of a
+    crowded key meet in many tasks and only where they are near. Columns of spans must have other names, the keys apart.
+    """
+    binned = points.withColumn("__bin", F.floor(F.col(at) / width))
+    copied = spans.where(F.col(end) > F.col(start)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    return binned.join(copied, [*keys, "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
+
+
+def overlapping_spans(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str, end: str, other_start: str, other_end: str, width: float) -> DataFrame:
+    """Spans of both tables that overlap, by key. Both are copied to the bins they touch; a pair is reported by the bin in which the
+    later of the two begins."""
+    copied = lambda df, a, b: df.where(F.col(b) > F.col(a)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
+    met = copied(left, start, end).join(copied(right, other_start, other_end), [*keys, "__bin"])
+    later = F.greatest(start, other_start)
+    return met.where((F.col("__bin") == F.floor(later / width)) & (later < F.least(end, other_end))).drop("__bin")

@@ -254,3 +254,28 @@ def audio_levels(t: Tables) -> DataFrame:
 @query(f"select label, round(max(rms_dbfs) - min(rms_dbfs), 3) as drift, round(max(rms_dbfs) - min(rms_dbfs), 3) <= 2.0 as ok from ({_LEVELS}) group by label")
 def level_drift(t: Tables) -> DataFrame:
     return levels.level_drift(levels.audio_levels(t.embeddings, F.col("embedding"), full=1.0, clip=0.3), ["label"], limit=2.0)
+
+
+@query("select label, count(*) as n_blocks, sum(len(embedding))::bigint as n_samples, round(20 * log10(sqrt(sum(list_sum(list_transform(embedding, lambda x: x::double * x::double))) / sum(len(embedding)))), 3) as rms_dbfs, round(20 * log10(max(list_max(list_transform(embedding, lambda x: abs(x::double))))), 3) as peak_dbfs, round(sum(len(list_filter(embedding, lambda x: abs(x::double) >= 0.3)))::double / sum(len(embedding)), 6) as clipped_ratio from embeddings group by label")
+def recording_levels(t: Tables) -> DataFrame:
+    """Vectors of a label as the blocks of one long recording."""
+    whole = levels.block_levels(t.embeddings, ["label"], F.col("embedding"), full=1.0, clip=0.3).withColumn("clipped_ratio", F.round("clipped_ratio", 6))
+    return whole.join(t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n_blocks")), "label")
+
+
+@query(f"with s as ({SPANS}) select p.event_id, v.event_id as view_id from s p join s v on p.user_id = v.user_id and p.day = v.day and p.a >= v.a and p.a < v.b where p.event_type = 'click' and v.event_type = 'view'")
+def clicks_in_views(t: Tables) -> DataFrame:
+    """Clicks inside a view of their user's day, by bins of ten minutes."""
+    rows = spans(t)
+    clicks = rows.where("event_type = 'click'").select("event_id", "user_id", "day", "a")
+    views = rows.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "day", F.col("a").alias("since"), F.col("b").alias("until"))
+    return I.points_in_spans(clicks, views, ["user_id", "day"], "a", "since", "until", 600.0).select("event_id", "view_id")
+
+
+@query(f"with s as ({SPANS}) select p.event_id, v.event_id as error_id from s p join s v on p.user_id = v.user_id and p.day = v.day and greatest(p.a, v.a) < least(p.b, v.b) where p.event_type = 'purchase' and v.event_type = 'error'")
+def purchases_beside_errors(t: Tables) -> DataFrame:
+    """Purchases whose time overlaps that of an error of the same user and day."""
+    rows = spans(t)
+    bought = rows.where("event_type = 'purchase'").select("event_id", "user_id", "day", "a", "b")
+    wrong = rows.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", "day", F.col("a").alias("since"), F.col("b").alias("until"))
+    return I.overlapping_spans(bought, wrong, ["user_id", "day"], "a", "b", "since", "until", 600.0).select("event_id", "error_id")
