@@ -225,11 +225,12 @@ def variant_flag(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.variant_flag(F.col("p_name")).alias("variant"), T.variant_flag(path).alias("path_variant"))
 
 
-@query("select event_id, false as sensitive, len(list_filter(json_keys(case when event_type = 'error' then replace(props, '\"k\"', '\"api_key\"') else props end), lambda k: regexp_matches(k, '(?i)api.?key|authorization|token|secret'))) > 0 as sensitive_renamed from events")
+@query("select event_id, len(list_filter(json_keys(case when value < 50 then replace(props, '\"k\"', '\"X-Token\"') else props end), lambda k: regexp_matches(k, '(?i)api.?key|authorization|token|secret'))) > 0 as sensitive, len(list_filter(json_keys(case when event_type = 'error' then replace(props, '\"k\"', '\"api_key\"') else props end), lambda k: regexp_matches(k, '(?i)api.?key|authorization|token|secret'))) > 0 as sensitive_renamed from events")
 def sensitive_keys(t: Tables) -> DataFrame:
-    """Property names as they are, and with those of error events renamed to name a key."""
+    """Property names with those of small values renamed to name a token, and with those of error events renamed to name a key."""
+    token = F.when(F.col("value") < 50, F.replace("props", F.lit('"k"'), F.lit('"X-Token"'))).otherwise(F.col("props"))
     renamed = F.when(F.col("event_type") == "error", F.replace("props", F.lit('"k"'), F.lit('"api_key"'))).otherwise(F.col("props"))
-    return t.events.select("event_id", T.sensitive_keys(F.col("props")).alias("sensitive"), T.sensitive_keys(renamed).alias("sensitive_renamed"))
+    return t.events.select("event_id", T.sensitive_keys(token).alias("sensitive"), T.sensitive_keys(renamed).alias("sensitive_renamed"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%d') as day, (value >= 100) as valid from events")
@@ -240,10 +241,11 @@ def valid_dates(t: Tables) -> DataFrame:
     return t.events.select("event_id", day.alias("day"), V.valid_date(made).alias("valid"))
 
 
-@query(r"select page_id, regexp_matches(url, '^(?i)https?://[^/@?#]+([/?#]|$)') as valid, false as valid_with_user from pages")
+@query(r"select page_id, regexp_matches(url, '^(?i)https?://[^/@?#]+([/?#]|$)') as valid, page_id % 2 = 1 and regexp_matches(url, '^(?i)https?://[^/@?#]+([/?#]|$)') as valid_with_user from pages")
 def valid_urls(t: Tables) -> DataFrame:
-    """The URLs, and the same with user information put in, which makes them invalid."""
-    return t.pages.select("page_id", V.valid_http_url(F.col("url")).alias("valid"), V.valid_http_url(F.regexp_replace("url", "://", "://user@")).alias("valid_with_user"))
+    """The URLs, and the same with user information put into every other one, which makes it invalid."""
+    user = F.when(F.col("page_id") % 2 == 1, F.col("url")).otherwise(F.regexp_replace("url", "://", "://user@"))
+    return t.pages.select("page_id", V.valid_http_url(F.col("url")).alias("valid"), V.valid_http_url(user).alias("valid_with_user"))
 
 
 @query(r"select lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) as origin, count(*) as n from pages group by 1")
