@@ -9,7 +9,7 @@ link is a guess.
 Work is on different sets. Links are looked for in rounds, so that a crowd of near copies costs what it has members, not pairs:
 the fingerprints' links together with each set against the smallest set that it shares a band with, then what is still apart
 against the smallest of each of its bands. Bands that still hold several components are settled by the rare shingles that similar
-sets must share. After each round what was linked is contracted to components, and only edges between components go on.
+sets must share, against the most central set of each and then among all that are still apart. After each round what was linked is contracted to components, and only edges between components go on.
 
 Every table that is read twice is written once, as Parquet, and deleted when the round is over.
 """
@@ -33,6 +33,8 @@ BANDS, BAND = 40, 5
 BLOCK, EDGES = 512, 200
 #: Rows of a batch that are worked on at once.
 ROWS = 500
+#: Bits, a multiple of 64, that tell of a set's shingles by parity.
+PARITY = 512
 #: Rows of a table that is broadcast, and edges whose components one task may find.
 FEW, FEW_EDGES = 200_000, 100_000
 
@@ -56,6 +58,12 @@ def bands(found: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Bits by which sets are told apart: whether an odd number of the shingles hash to each."""
+    odd = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
@@ -124,17 +132,18 @@ def mixed_in_bands(band: np.ndarray, sid: np.ndarray, root: np.ndarray) -> dict[
 
 
 def sets_of(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, text: str, kept: Kept) -> DataFrame:
-    """``(sid, shingles)`` of the wanted sets, from one text of each."""
+    """``(sid, shingles, bits)`` of the wanted sets, from one text of each."""
     one = small(kept.write(distinct.join(small(wanted, kept), "sid", "left_semi").select("th")), kept)
     body = docs.select(text_hash(text), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).join(one, "th", "left_semi").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingles(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
+            ids, own, bits = pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, own, bits], names=["sid", "shingles", "bits"])
         give_back()
 
-    return body.mapInArrow(run, "sid bigint, shingles array<bigint>").dropDuplicates(["sid"])
+    return body.mapInArrow(run, "sid bigint, shingles array<bigint>, bits array<bigint>").dropDuplicates(["sid"])
 
 
 def small(df: DataFrame, kept: Kept) -> DataFrame:
@@ -145,7 +154,7 @@ def small(df: DataFrame, kept: Kept) -> DataFrame:
 def with_sets(edges: DataFrame, side: str, sets: DataFrame, kept: Kept) -> DataFrame:
     """``edges`` with the shingles of ``side``; a set of many edges is handed to many tasks."""
     ends = small(kept.write(edges.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / EDGES).cast("int").alias("copies"))), kept)
-    copies = sets.withColumnRenamed("sid", side).join(ends, side).select(side, F.col("shingles").alias(f"{side}_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    copies = sets.select(F.col("sid").alias(side), "shingles").join(ends, side).select(side, F.col("shingles").alias(f"{side}_set"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     dealt = edges.join(ends, side).withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.col("copies")).cast("int")).drop("copies")
     return dealt.join(copies, [side, "copy"]).drop("copy")
 
@@ -233,7 +242,7 @@ def components(docs: DataFrame, marked: DataFrame, text: str, kept: Kept) -> Dat
     # bands whose sets are not yet in one component
     kin = renamed(distinct.join(sets.select("sid"), "sid").select("bands", "sid", F.col("sid").alias("root")), "root", star, kept)
     left = kept.write(by_band(kin, mixed_in_bands, n, "sid bigint, root bigint").distinct())
-    return merged(star, confirmed(by_rare_shingles(left, sets, kept), sets, kept), kept)
+    return by_rare_shingles(star, left, sets, kept)
 
 
 def apart(edges: DataFrame, star: DataFrame | None, kept: Kept) -> DataFrame:
@@ -250,28 +259,59 @@ def merged(star: DataFrame | None, edges: DataFrame, kept: Kept) -> DataFrame |
     return up if star is None else kept.write(renamed(star, "root", up, kept).unionByName(up))
 
 
-def by_rare_shingles(left: DataFrame, sets: DataFrame, kept: Kept, least: float = SIMILARITY) -> DataFrame:
-    """Candidates ``(u, v)`` among sets ``(sid, root)`` of different components, every pair that is similar enough included.
+def rare_shingles(left: DataFrame, sets: DataFrame, kept: Kept, least: float = SIMILARITY) -> DataFrame:
+    """The shingles by which sets ``(sid, root)`` of different components must meet: ``(shingle, sid, root, n, rest, share, bits)``.
 
     With all shingles in one order, rare ones first, two sets of that similarity share one of the first |x| - ceil(least |x|) + 1
-    of each, early enough for the rest to suffice. Texts that have a common body and a ninth of their own are no candidates.
+    of each, early enough for the ``rest`` to suffice. Texts that have a common body and a ninth of their own don't meet. ``share``
+    is the part of a set's shingles that other sets have, too.
     """
-    if not kept.rows(left):
-        return kept.write(left.select(F.col("sid").alias("u"), F.col("root").alias("v")))
-    own = sets.join(small(left, kept), "sid").select("sid", "root", F.size("shingles").alias("n"), "shingles")
+    own = sets.join(small(left, kept), "sid").select("sid", "root", "bits", F.size("shingles").alias("n"), "shingles")
     every = own.select("sid", "root", "n", F.explode("shingles").alias("shingle"))
     common = every.groupBy("shingle").count().where("count > 1")
     # a shingle of one set comes first and pairs nothing: how many a set has is enough
     order = every.join(common, "shingle").groupBy("sid", "root", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("shared"))
     begin = F.greatest(F.lit(0), F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    first = kept.write(order.select("sid", "root", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), begin)).alias("at", "x")).select("sid", "root", "n", (F.col("m") - F.col("at")).alias("rest"), "x.shingle"))
+    first = order.select("sid", "root", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), begin)).alias("at", "x"))
+    first = kept.write(first.select("x.shingle", "sid", "root", "n", (F.col("m") - F.col("at")).alias("rest"), (F.col("m") / F.col("n")).alias("share")))
+    return kept.write(where_mixed(first).join(own.select("sid", "bits"), "sid"))
+
+
+def where_mixed(first: DataFrame) -> DataFrame:
+    """The rows of ``rare_shingles`` whose shingle is in several components."""
     mixed = first.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
-    first = kept.write(first.join(mixed, "shingle", "left_semi"))
-    other = first.select("shingle", F.col("sid").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("v_n"), F.col("rest").alias("v_rest"))
-    # from the first shared shingle on, the rest of both must hold as many as two sets of these sizes have to share
-    enough = F.least("rest", "v_rest") >= least / (1 + least) * (F.col("n") + F.col("v_n")) - 1e-6
-    near = first.join(other, "shingle").where((F.col("sid") < F.col("v")) & (F.col("root") != F.col("v_root")) & enough)
-    return kept.write(near.select(F.col("sid").alias("u"), "v").distinct())
+    return first.join(mixed, "shingle", "left_semi")
+
+
+def meeting(first: DataFrame, other: DataFrame, kept: Kept, least: float = SIMILARITY) -> DataFrame:
+    """Different ``(u, v)``, u > v, that meet at a shingle, aren't in one component, and aren't seen to be too far apart.
+
+    From the first shared shingle on, the rest of both must hold as many as two sets of these sizes have to share. And where bits
+    tell whether the number of shingles that hash to them is odd, every bit that differs is a shingle that one of the sets lacks.
+    """
+    held = other.select("shingle", *[F.col(c).alias(f"v_{c}") for c in ("sid", "root", "n", "rest", "bits")])
+    both = F.col("n") + F.col("v_n")
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("v_bits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    enough = (F.least("rest", "v_rest") >= least / (1 + least) * both - 1e-6) & (differ <= (1 - least) / (1 + least) * both + 1e-6)
+    near = first.join(held, "shingle").where((F.col("sid") != F.col("v_sid")) & (F.col("root") != F.col("v_root")) & enough)
+    return kept.write(ordered(near.select(F.col("sid").alias("u"), F.col("v_sid").alias("v"))))
+
+
+def central(first: DataFrame) -> DataFrame:
+    """Of each shingle the set that is nearest to the others' common body: the one with the largest part of shingles that others have."""
+    row = F.struct("sid", "root", "n", "rest", "bits")
+    return first.groupBy("shingle").agg(F.max_by(row, F.struct("share", "sid")).alias("x")).select("shingle", "x.*")
+
+
+def by_rare_shingles(star: DataFrame | None, left: DataFrame, sets: DataFrame, kept: Kept) -> DataFrame | None:
+    """``star`` and what the sets ``(sid, root)`` of different components join, every pair that is similar enough included: first
+    each set with the central one of its rare shingles, which makes one component of most of a crowd, then what is still apart."""
+    if not kept.rows(left):
+        return star
+    first = rare_shingles(left, sets, kept)
+    star = merged(star, confirmed(meeting(first, central(first), kept), sets, kept), kept)
+    apart_yet = kept.write(where_mixed(renamed(first, "root", star, kept)))
+    return merged(star, confirmed(meeting(apart_yet, apart_yet, kept), sets, kept), kept)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", most_broadcast: int = 200_000) -> DataFrame:
