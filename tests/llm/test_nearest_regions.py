@@ -60,3 +60,12 @@ def test_regions_left_out():
     visits = {(int(q), region) for rows, region in ann.within(tree, unit[:100], np.arange(100), ann.reach(kth, 1.0)) for q in rows}
     assert len(visits) < 0.5 * 100 * len(set(homes.tolist()))
     assert all((q, homes[j]) in visits for q in range(100) for j in np.flatnonzero(cosine[q] >= kth[q]))
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2e200]), (2, [1e-200, 1e-200]), (3, [3.0, 1.0]), (4, [5e-324, 0.0]), (5, [0.0, 0.0]), (6, [-1e308, 1e308])]
+    plain = [(0, [1.0, 0.0]), (1, [1.0, 2.0]), (2, [1.0, 1.0]), (3, [3.0, 1.0]), (4, [1.0, 0.0]), (6, [-1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, want = got(ann.nearest(df, df, 3)), brute(plain, plain, 3)
+    assert {q: [i for i, _ in near] for q, near in found.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+    assert all(abs(a - b) < 1e-12 for q in want for (_, a), (_, b) in zip(found[q], want[q], strict=True))

@@ -208,9 +208,15 @@ def within(node: Region | int, unit: np.ndarray, rows: np.ndarray, far: np.ndarr
     yield from within(node.outer, unit, rows[away + far[rows] >= node.radius - SLACK], far)
 
 
+def near_one(v: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 0.5 or more and below 1: no digit of a cosine changes, and no
+    square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None]) if v.size else v
+
+
 def scaled(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     """Vectors of one length as rows of length one."""
-    v = column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    v = near_one(column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
@@ -232,8 +238,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 1
     def clean(df: DataFrame) -> DataFrame:
         v = F.col("v")
         finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-        length = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
-        return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{column}`").cast("array<double>").alias("v")).where("id is not null").where(F.when(v.isNotNull(), finite & (length > 0)).otherwise(False)).withColumn("dim", F.size(v))
+        some = F.exists(v, lambda x: x != 0)
+        return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{column}`").cast("array<double>").alias("v")).where("id is not null").where(F.when(v.isNotNull(), finite & some).otherwise(False)).withColumn("dim", F.size(v))
 
     index, asked = clean(vectors), settled(clean(queries).groupBy("id").agg(F.min_by("v", "v").alias("v"), F.min_by("dim", "v").alias("dim")))
     sizes = {r["dim"]: r["count"] for r in index.groupBy("dim").count().collect()}  # a row for each length of vectors
@@ -265,6 +271,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 1
         table = table.combine_chunks()
         ids, query = table.column("id").to_numpy(), table.column("query").to_numpy()
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        flat = near_one(flat)
         q, found, score = search_shard(ids[~query], flat[~query], ids[query], flat[query], k, relax)
         return pa.table({"query_id": q, "vec_id": found, "score": score})
 
