@@ -67,8 +67,18 @@ def unescaped(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
 
 
-def html_visible_text(c: Column) -> Column:
-    """Text that a reader of the page sees: no scripts, styles or comments; block elements break lines; other tags part words."""
+def with_entities(c: Column, entities: dict[str, str]) -> Column:
+    """These references, as they are written and no others, replaced in turn; the ampersand's comes last, so that none is decoded twice."""
+    for entity, text in entities.items():
+        c = F.replace(c, F.lit(entity), F.lit(text))
+    return c
+
+
+def html_visible_text(c: Column, entities: dict[str, str] | None = None) -> Column:
+    """Text that a reader of the page sees: no scripts, styles or comments; block elements break lines; other tags part words.
+
+    References are decoded by HTML's rules (:func:`unescaped`), or only those of ``entities``, if given.
+    """
     attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
     out = c
     for tag in HIDDEN:
@@ -76,7 +86,7 @@ def html_visible_text(c: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<!--.*?-->|(?i)<!doctype[^>]*>", " ")
     out = F.regexp_replace(out, rf"(?i)<(?:{BREAK_OPEN})\b{attributes}>|</(?:{BREAK_CLOSE})\s*>", " \n ")
     out = F.regexp_replace(out, rf"</?[A-Za-z]{attributes}>", " ")
-    return normalize_text(unescaped(out))
+    return normalize_text(unescaped(out) if entities is None else with_entities(out, entities))
 
 
 def speech_length(c: Column) -> Column:

@@ -104,11 +104,12 @@ def unknown_selected(items: DataFrame, selected: DataFrame) -> DataFrame:
     return selected.select("id").distinct().join(items.select("id"), "id", "left_anti")
 
 
-def extract(items: DataFrame, probes: DataFrame | None = None, most_chars: int = 250_000, most_entry: int = 32 << 20, most_total: int = 128 << 20) -> DataFrame:
+def extract(items: DataFrame, probes: DataFrame | None = None, most_chars: int = 250_000, most_entry: int = 32 << 20, most_total: int = 128 << 20, entities: dict[str, str] | None = None) -> DataFrame:
     """A record for each material ``(id, relative_path, extension, category, sha256, bytes, content, dimensions)``, with ``error``.
 
     A row with an error could not be read: its other fields say nothing, and ``checks.split_quarantine`` puts it aside. probes:
-    ``(id, probe)``, the JSON that a media probe wrote; media without one are an error.
+    ``(id, probe)``, the JSON that a media probe wrote; media without one are an error. entities: the references that are decoded in
+    pages, by default all of HTML's.
     """
     ext = F.lower("extension")
     plain = items.where(ext.isin(*TEXTS, *PAGES))
@@ -116,7 +117,7 @@ def extract(items: DataFrame, probes: DataFrame | None = None, most_chars: int =
     plain = plain.withColumn("__t", F.when(~large, decode_text(F.col("content"))))
     failed = F.when(large, "source is larger than the read limit").when(F.col("content").isNull(), "content was not read").when(F.col("__t").isNull(), "text encoding is not known")
     none = F.lit(None)
-    out = _records(plain, F.when(page, "html-visible-text").otherwise("plain-text"), F.when(page, T.html_visible_text(F.col("__t"))).otherwise(F.col("__t")), none, none, failed, most_chars)
+    out = _records(plain, F.when(page, "html-visible-text").otherwise("plain-text"), F.when(page, T.html_visible_text(F.col("__t"), entities)).otherwise(F.col("__t")), none, none, failed, most_chars)
 
     archives = archive_parts(items.where(ext.isin(".docx", ".pptx")).select("id", "relative_path", "category", "sha256", ext.alias("extension"), "content"), most_entry, most_total)
     word = F.col("extension") == ".docx"
