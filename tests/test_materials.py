@@ -35,3 +35,9 @@ def test_status_of_pages_with_cut_references(spark, folder, monkeypatch):
 def test_visible_text_of_pages_with_cut_references(spark, folder, monkeypatch):
     rows = registry.queries()["html_visible_text"](spark, folder)
     assert {r.page_id: r.visible for r in rows.collect()}[0] == "a &amp b &eacute; &#233; &lt; &copy"
+
+
+@pytest.mark.parametrize("name", ["plan_segments", "segment_table", "split_oversized", "sentence_units"])
+def test_sentences_are_worked_out_once(spark, data, name):
+    plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("；;]") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Elements that are folded at once.
 BLOCK = 256
@@ -15,6 +15,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def worked_out(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row, however many filters and columns after them name them.
+
+    Spark moves a filter below the columns that it reads, and puts one on an array that is exploded, and either repeats their work.
+    It moves none below an explosion, here that of an array of one.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))
+
+
 def blocks(values: Column, size: int = BLOCK) -> Column:
     """An array as an array of arrays of at most ``size`` elements."""
 

@@ -12,6 +12,8 @@ from weftline.functions.arrays import blocks, let
 
 #: Characters that end a line.
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Unicode's white space, as ``(?U)\\s`` has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Sentence and clause marks.
 SENTENCE_END, CLAUSE_END = "。！？!?；;", "，,、：:"
 #: HTML elements whose text is hidden, and those that break lines when they open and when they close.
@@ -24,7 +26,7 @@ VARIANT = r"(?i)(^|[\s._-])(final|old|new|draft|rev\d*|x)([\s._-]|$)|改|新版|
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
@@ -130,14 +132,16 @@ def packed(units: Column, most: int) -> Column:
 def split_oversized(units: Column, most: int) -> Column:
     """Units longer than ``most`` cut at clause marks and packed again; a clause still too long is chopped without its white space."""
 
+    fits = lambda x: (F.length(x) <= most) | (speech_length(x) <= most)  # noqa: E731  most texts are short with their white space, too
+
     def chopped(part: Column) -> Column:
         bare = F.regexp_replace(part, r"(?U)\s+", "")
-        return F.transform(F.sequence(F.lit(1), F.length(bare), F.lit(most)), lambda i: F.substring(bare, i, F.lit(most)))
+        return let(bare, lambda b: F.transform(F.sequence(F.lit(1), F.length(b), F.lit(most)), lambda i: F.substring(b, i, F.lit(most))))
 
     def one(unit: Column) -> Column:
         clauses = _stripped(F.split(F.regexp_replace(unit, rf"([{CLAUSE_END}])(?U)\s*", "$1\u0000"), "\u0000"))
-        cut = F.flatten(F.transform(packed(clauses, most), lambda p: F.when(speech_length(p) <= most, F.array(p)).otherwise(chopped(p))))
-        return F.when(speech_length(unit) <= most, F.array(unit)).otherwise(cut)
+        cut = F.flatten(F.transform(packed(clauses, most), lambda p: F.when(fits(p), F.array(p)).otherwise(chopped(p))))
+        return F.when(fits(unit), F.array(unit)).otherwise(cut)
 
     return F.flatten(F.transform(units, one))
 
