@@ -3,7 +3,9 @@
 import duckdb
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
+from weftline.functions import text as T
 from weftline.plans import registry
 
 PAGES = ["<p>a &amp b &eacute; &#233; &amp;lt; &copy</p>", "<title>cut at &am</title><p>&quot;x&quot; y &middot; &copy; z</p>", "<script>&amp;</script>", ""]
@@ -41,3 +43,9 @@ def test_visible_text_of_pages_with_cut_references(spark, folder, monkeypatch):
 def test_sentences_are_worked_out_once(spark, data, name):
     plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("；;]") == 1
+
+
+def test_bounded_text_is_normalised_once(spark):
+    df = spark.createDataFrame([("a  b \n\n\n\n c",), (None,), ("x",)], "t string").select(T.bounded_text(F.col("t"), 4).alias("b"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)[^\S") == 1
+    assert [(r.b.text, r.b.truncated) if r.b.text is not None else None for r in df.collect()] == [("a b", True), None, ("x", False)]

@@ -67,5 +67,6 @@ def decode_text(content: Column) -> Column:
         .when(marked("FEFF"), F.when(_all_of(latin_rest, _LOW_LAST), F.decode(rest, "UTF-16BE")))
         .otherwise(F.when(_all_of(latin, _LOW_FIRST), F.decode(content, "UTF-16LE")))
     )
-    utf8 = F.regexp_replace(content.cast("string"), "\\A\ufeff", "")
-    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.coalesce(F.when(_all_of(latin, _GB_TOKEN), _gb18030(latin)), sixteen))
+    text = content.cast("string")
+    utf8 = F.when(marked("EFBBBF"), F.substring(text, 2, 2_000_000_000)).otherwise(text)
+    return F.when(F.is_valid_utf8(text), utf8).otherwise(F.coalesce(F.when(_all_of(latin, _GB_TOKEN), _gb18030(latin)), sixteen))

@@ -42,9 +42,12 @@ def normalize_text(c: Column) -> Column:
 
 def bounded_text(c: Column, most: int = 250_000) -> Column:
     """Struct of the normalised text's first ``most`` code points, right-stripped, and whether it was cut."""
-    whole = normalize_text(c)
-    cut = F.length(whole) > most
-    return F.struct(F.when(cut, F.regexp_replace(F.substring(whole, 1, most), r"(?U)\s+$", "")).otherwise(whole).alias("text"), cut.alias("truncated"))
+
+    def bounded(whole: Column) -> Column:
+        cut = F.length(whole) > most
+        return F.struct(F.when(cut, F.rtrim(F.substring(whole, 1, most), F.lit(WHITE))).otherwise(whole).alias("text"), cut.alias("truncated"))
+
+    return let(normalize_text(c), bounded)
 
 
 def unescaped(c: Column) -> Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions import text as T
+from weftline.functions.arrays import worked_out
 from weftline.functions.decoding import decode_text
 
 #: Extensions by how they are read.
@@ -81,7 +82,7 @@ def archive_parts(items: DataFrame, most: int = 32 << 20, most_total: int = 128
 def _records(rows: DataFrame, method: Column, text: Column, metadata: Column, review: Column, error: Column, most_chars: int, unsupported: Column | None = None) -> DataFrame:
     """Records from a row's text (null: none is read), what was learnt of it and what is left to people."""
     rows = rows.withColumns({"__error": error, "__raw": text, "__review": review})
-    rows = rows.withColumn("__b", F.when(F.col("__raw").isNotNull(), T.bounded_text(F.col("__raw"), most_chars)))
+    rows = worked_out(rows, __b=F.when(F.col("__raw").isNotNull(), T.bounded_text(F.col("__raw"), most_chars)))
     has, none = F.col("__b").isNotNull(), F.array().cast("array<string>")
     empty = has & (F.col("__b.text") == "")
     review = F.concat(F.coalesce("__review", none), F.when(empty, F.array(F.lit("visual-inspection-or-ocr"))).otherwise(none))
@@ -114,7 +115,7 @@ def extract(items: DataFrame, probes: DataFrame | None = None, most_chars: int =
     ext = F.lower("extension")
     plain = items.where(ext.isin(*TEXTS, *PAGES))
     large, page = F.col("bytes") > most_entry, ext.isin(*PAGES)
-    plain = plain.withColumn("__t", F.when(~large, decode_text(F.col("content"))))
+    plain = worked_out(plain, __t=F.when(~large, decode_text(F.col("content"))))
     failed = F.when(large, "source is larger than the read limit").when(F.col("content").isNull(), "content was not read").when(F.col("__t").isNull(), "text encoding is not known")
     none = F.lit(None)
     out = _records(plain, F.when(page, "html-visible-text").otherwise("plain-text"), F.when(page, T.html_visible_text(F.col("__t"), entities)).otherwise(F.col("__t")), none, none, failed, most_chars)
