@@ -49,3 +49,16 @@ def test_bounded_text_is_normalised_once(spark):
     df = spark.createDataFrame([("a  b \n\n\n\n c",), (None,), ("x",)], "t string").select(T.bounded_text(F.col("t"), 4).alias("b"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)[^\S") == 1
     assert [(r.b.text, r.b.truncated) if r.b.text is not None else None for r in df.collect()] == [("a b", True), None, ("x", False)]
+
+
+def test_status_reads_every_text_whole(spark, tmp_path, monkeypatch):
+    """Texts of every language, beyond 12000 bytes and 250000 characters, and pages with long tags, closed or not."""
+    texts = [("es", "x y"), ("fr", "é" * 7000), ("en", "z " * 150_000), ("de", " \n "), (None, "a")]
+    pages = ["<p>a</p>" * 3000, "<p>x</p> 1 <b " + "w " * 20_000, "<p>x</p><img alt=" + "w " * 20_000 + ">y", "<i>" * 5000]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r.origin, r.id): (r.method, r.status, r.text_characters, r.error) for r in registry.queries()["extraction_status"](spark, str(tmp_path)).collect()}
+    assert [rows["document", i] for i in range(3)] == [("plain-text", "extracted", n, None) for n in (3, 7000, 299_999)]
+    assert rows["document", 3] == ("plain-text", "manual-review-required", 0, None)
+    assert [rows["page", i][1:] for i in range(4)] == [("extracted", 3000 * 3 - 2, None), ("extracted", len("x\n1 <b ") + 39_999, None), ("extracted", 3, None), ("manual-review-required", 0, None)]
+    beside_sql(spark, "extraction_status", str(tmp_path), monkeypatch)

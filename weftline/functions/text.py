@@ -40,8 +40,10 @@ def normalize_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(lines, r"(?U)[^\S\n]*\n[^\S\n]*", "\n"), "\n{3,}", "\n\n"))
 
 
-def bounded_text(c: Column, most: int = 250_000) -> Column:
-    """Struct of the normalised text's first ``most`` code points, right-stripped, and whether it was cut."""
+def bounded_text(c: Column, most: int | None = 250_000) -> Column:
+    """Struct of the normalised text's first ``most`` code points (None: all), right-stripped, and whether it was cut."""
+    if most is None:
+        return F.struct(normalize_text(c).alias("text"), F.lit(False).alias("truncated"))
 
     def bounded(whole: Column) -> Column:
         cut = F.length(whole) > most
@@ -84,7 +86,7 @@ def html_visible_text(c: Column, entities: dict[str, str] | None = None) -> Colu
 
     References are decoded by HTML's rules (:func:`unescaped`), or only those of ``entities``, if given.
     """
-    attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+    attributes = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""  # possessive, so that long tags need no stack; no shorter run could end at a >
     out = c
     for tag in HIDDEN:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b{attributes}>.*?</{tag}\s*>", " ")

@@ -33,12 +33,12 @@ class _Refused(Exception):
     pass
 
 
-def _xml(archive: zipfile.ZipFile, name: str, most: int) -> str:
-    if archive.getinfo(name).file_size > most:
+def _xml(archive: zipfile.ZipFile, name: str, most: int | None) -> str:
+    if most is not None and archive.getinfo(name).file_size > most:
         raise _Refused(f"{name} is larger than the read limit")
     with archive.open(name) as f:
-        raw = f.read(most + 1)
-    if len(raw) > most:
+        raw = f.read(None if most is None else most + 1)
+    if most is not None and len(raw) > most:
         raise _Refused(f"{name} is larger than the read limit")
     try:
         xml.parsers.expat.ParserCreate().Parse(raw, True)
@@ -47,7 +47,7 @@ def _xml(archive: zipfile.ZipFile, name: str, most: int) -> str:
     return raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig", "replace")
 
 
-def _parts_of(content: bytes | None, extension: str, most: int, most_total: int) -> tuple[list[dict], str | None]:
+def _parts_of(content: bytes | None, extension: str, most: int | None, most_total: int) -> tuple[list[dict], str | None]:
     """The numbered XML parts of an archive, or why there are none."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
@@ -63,7 +63,7 @@ def _parts_of(content: bytes | None, extension: str, most: int, most_total: int)
         return [], f"no {extension[1:]} archive: {e}"
 
 
-def archive_parts(items: DataFrame, most: int = 32 << 20, most_total: int = 128 << 20) -> DataFrame:
+def archive_parts(items: DataFrame, most: int | None = 32 << 20, most_total: int = 128 << 20) -> DataFrame:
     """``items`` (with ``extension`` and ``content``) with ``parts`` and ``error`` in place of ``content``."""
     columns = [c for c in items.columns if c not in ("content", "parts", "error")]
     schema = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in columns)
@@ -79,7 +79,7 @@ def archive_parts(items: DataFrame, most: int = 32 << 20, most_total: int = 128
     return items.select(*[f"`{c}`" for c in columns], "content").mapInArrow(run, f"{schema}, parts {_PARTS}, error string")
 
 
-def _records(rows: DataFrame, method: Column, text: Column, metadata: Column, review: Column, error: Column, most_chars: int, unsupported: Column | None = None) -> DataFrame:
+def _records(rows: DataFrame, method: Column, text: Column, metadata: Column, review: Column, error: Column, most_chars: int | None, unsupported: Column | None = None) -> DataFrame:
     """Records from a row's text (null: none is read), what was learnt of it and what is left to people."""
     rows = rows.withColumns({"__error": error, "__raw": text, "__review": review})
     rows = worked_out(rows, __b=F.when(F.col("__raw").isNotNull(), T.bounded_text(F.col("__raw"), most_chars)))
@@ -105,16 +105,17 @@ def unknown_selected(items: DataFrame, selected: DataFrame) -> DataFrame:
     return selected.select("id").distinct().join(items.select("id"), "id", "left_anti")
 
 
-def extract(items: DataFrame, probes: DataFrame | None = None, most_chars: int = 250_000, most_entry: int = 32 << 20, most_total: int = 128 << 20, entities: dict[str, str] | None = None) -> DataFrame:
+def extract(items: DataFrame, probes: DataFrame | None = None, most_chars: int | None = 250_000, most_entry: int | None = 32 << 20, most_total: int = 128 << 20, entities: dict[str, str] | None = None) -> DataFrame:
     """A record for each material ``(id, relative_path, extension, category, sha256, bytes, content, dimensions)``, with ``error``.
 
     A row with an error could not be read: its other fields say nothing, and ``checks.split_quarantine`` puts it aside. probes:
-    ``(id, probe)``, the JSON that a media probe wrote; media without one are an error. entities: the references that are decoded in
-    pages, by default all of HTML's.
+    ``(id, probe)``, the JSON that a media probe wrote; media without one are an error. most_chars, most_entry: characters of a text that are
+    kept, and bytes of a source above which it is an error, None for no limit. entities: the references that are decoded in pages, by
+    default all of HTML's.
     """
     ext = F.lower("extension")
     plain = items.where(ext.isin(*TEXTS, *PAGES))
-    large, page = F.col("bytes") > most_entry, ext.isin(*PAGES)
+    large, page = F.lit(False) if most_entry is None else F.col("bytes") > most_entry, ext.isin(*PAGES)
     plain = worked_out(plain, __t=F.when(~large, decode_text(F.col("content"))))
     failed = F.when(large, "source is larger than the read limit").when(F.col("content").isNull(), "content was not read").when(F.col("__t").isNull(), "text encoding is not known")
     none = F.lit(None)
